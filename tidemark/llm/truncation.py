@@ -26,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.storage import materialize
 
-NEAR, GAP = 40, 12  # neighbouring lengths that give the expected hazard, and how many next to a length are left out
+NEAR, GAP = 10, 2  # the farthest and nearest neighbouring lengths that give the expected hazard
+SOFT = 12  # a source that cuts between words ends its texts within so many units before the limit
 FALSE_DISCOVERY = 0.01
 LEAST_AT_LIMIT = 4
 #: A context seen this often, and ending a sentence in at most this share, goes on.
@@ -120,30 +121,43 @@ def _scan(key: str):
 
 
 def significant_lengths(texts: DataFrame) -> DataFrame:
-    """``source, unit, length, n, expected, p``: the lengths at which a source ends texts more often than at their neighbours."""
+    """``source, unit, length, n, expected, p, soft``: the lengths at which a source ends texts more often than at their neighbours.
+
+    soft: the lengths just before it are raised as well, as the source cuts between words.
+    """
     long = texts.select("source", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes", "utf16")])).alias("x")).select("source", "x.*")
     counts = long.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("source", "unit").orderBy("length")
-    risk = F.sum("n").over(Window.partitionBy("source", "unit").orderBy(F.desc("length")))
-    at = counts.withColumn("risk", risk)
-    # pooled hazard of the neighbours: their texts over the time at risk, a length at a time
-    wide = by.rangeBetween(-NEAR, NEAR)
-    near = by.rangeBetween(-GAP, GAP)
-    below = F.sum("n").over(by.rangeBetween(-NEAR, -GAP - 1))
-    above = F.sum("n").over(by.rangeBetween(GAP + 1, NEAR))
-    left_risk = F.first("risk").over(by.rangeBetween(-NEAR, 0))  # texts at least as long as the window's start
-    right_risk = F.coalesce(F.first("risk").over(by.rangeBetween(GAP + 1, NEAR)), F.lit(0))
-    exposure = (NEAR - GAP) * (left_risk + right_risk).cast("double")
-    tested = at.withColumn("expected", F.col("risk") * (F.coalesce(below, F.lit(0)) + F.coalesce(above, F.lit(0)) + 1) / F.greatest(exposure, F.lit(1.0)))
+    whole = Window.partitionBy("source", "unit")
+    by = whole.orderBy("length")
+    at = counts.withColumn("risk", F.sum("n").over(whole.orderBy(F.desc("length"))))
+
+    def pooled(lo: int, hi: int, lo2: int | None = None, hi2: int | None = None) -> Column:
+        """Texts per text and length at risk, over lengths from lo to hi (and lo2 to hi2) relative to this one."""
+        ended, exposed = F.lit(1.0), F.lit(1e-9)
+        for a, b in ((lo, hi), (lo2, hi2)):
+            if a is not None:
+                span = by.rangeBetween(a, b)
+                ended = ended + F.coalesce(F.sum("n").over(span), F.lit(0))
+                start = F.max("risk").over(by.rangeBetween(a, Window.unboundedFollowing))  # texts at least as long as its start
+                stop = F.max("risk").over(by.rangeBetween(b + 1, Window.unboundedFollowing))
+                exposed = exposed + (b - a + 1) * (F.coalesce(start, F.lit(0)) + F.coalesce(stop, F.lit(0))) / 2
+        return ended / F.greatest(exposed, F.lit(1.0))
+
+    zone = by.rangeBetween(-SOFT, -1)
+    tested = (at.withColumn("expected", F.col("risk") * pooled(-NEAR, -GAP, GAP, NEAR))
+              .withColumn("zone_n", F.coalesce(F.sum("n").over(zone), F.lit(0)))
+              .withColumn("zone_expected", SOFT * (F.coalesce(F.first("risk").over(zone), F.col("risk")) + F.col("risk")) / 2 * pooled(-4 * SOFT, -SOFT - 1)))
     # upper tail of the Poisson distribution, by Chernoff's bound: never below the exact one
-    n, mu = F.col("n").cast("double"), F.greatest(F.col("expected"), F.lit(1e-9))
-    p = F.when(n > mu, F.exp(n - mu - n * F.log(n / mu))).otherwise(F.lit(1.0))
-    tested = tested.withColumn("p", p)
+    def tail(n: Column, mu: Column) -> Column:
+        n, mu = n.cast("double"), F.greatest(mu, F.lit(1e-9))
+        return F.when(n > mu, F.exp(n - mu - n * F.log(n / mu))).otherwise(F.lit(1.0))
+
+    tested = tested.withColumn("p", tail(F.col("n"), F.col("expected"))).withColumn("zone_p", tail(F.col("zone_n"), F.col("zone_expected")))
     # Benjamini-Hochberg over all tests; equal p share a rank
     levels = tested.groupBy("p").agg(F.count("*").alias("k"))
     running = levels.withColumn("rank", F.sum("k").over(Window.orderBy("p"))).withColumn("all", F.sum("k").over(Window.partitionBy()))
     limit = running.filter(F.col("p") <= F.col("rank") / F.col("all") * FALSE_DISCOVERY).agg(F.max("p").alias("limit"))
-    return tested.join(F.broadcast(limit), F.col("p") <= F.col("limit")).filter(F.col("n") >= LEAST_AT_LIMIT).select("source", "unit", "length", "n", "expected", "p")  # limit: one row
+    return tested.join(F.broadcast(limit), F.col("p") <= F.col("limit")).filter(F.col("n") >= LEAST_AT_LIMIT).withColumn("soft", (F.col("zone_p") <= F.col("limit")) & (F.col("zone_n") >= 3 * F.col("zone_expected"))).select("source", "unit", "length", "n", "expected", "p", "soft")  # limit: one row
 
 
 def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -160,7 +174,8 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     texts = seen.filter("how is not null").drop("ends", "goes")
     counts = materialize(seen.filter("ends is not null").groupBy("a", "b", "c").agg(F.sum("ends").alias("e"), F.sum("goes").alias("g")), "contexts")
 
-    limits = significant_lengths(texts).select("source", "unit", "length")
+    hard = significant_lengths(texts).select("source", "unit", "length", "soft")
+    limits = hard.select("source", "unit", F.explode(F.sequence(F.col("length") - F.when(F.col("soft"), SOFT).otherwise(0), F.col("length"))).alias("length")).distinct()
     unsure = texts.filter("how <> 'sentence' and how <> 'structure'").select("a", "b", "c").distinct()
 
     def level(keys: list[str], tag: str) -> DataFrame:
@@ -176,14 +191,16 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         known = known.join(level(keys, tag), keys, "left")
     for keys, tag in ((["a", "b"], "3"), (["b"], "2")):
         known = known.join(longer(keys, tag), [*keys, "c"], "left")
-    known = known.na.fill(0)
+    finals = texts.filter("how = 'open'").groupBy("c").agg(F.count("*").alias("f1"))  # habits: a last word of many texts
+    known = known.join(finals, "c", "left").na.fill(0)
     goes_on = F.expr(f"""CASE WHEN c = '' THEN null
         WHEN l3 >= {SEEN} AND l3 > 4 * n3 THEN true
+        WHEN f1 >= {SEEN} AND f1 >= 0.1 * (n1 + f1) THEN false
         WHEN n3 >= {SEEN} THEN e3 / n3 <= {ENDS}
         WHEN l2 >= {SEEN} AND l2 > 4 * n2 THEN true
         WHEN n2 >= {SEEN} THEN e2 / n2 <= {ENDS}
-        WHEN n1 >= {SEEN} THEN e1 / n1 <= {ENDS / 2} END""")
-    known = known.withColumn("goes_on", goes_on).withColumn("never", F.expr("n3 >= 10 AND e3 / n3 <= 0.02")).select("a", "b", "c", "goes_on", "never")
+        WHEN n1 >= 10 * {SEEN} AND e1 / n1 <= {ENDS / 40} THEN true END""")
+    known = known.withColumn("goes_on", goes_on).withColumn("never", F.expr("n3 >= 10 AND e3 / n3 <= 0.02")).withColumn("seen", F.expr(f"n3 >= {SEEN} OR n2 >= {SEEN}")).select("a", "b", "c", "goes_on", "never", "seen")
 
     judged = texts.join(known, ["a", "b", "c"], "left")
     for unit in ("chars", "bytes", "utf16"):
@@ -191,7 +208,7 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         judged = judged.join(at, ["source", unit], "left")
     judged = judged.withColumn("at_limit", F.coalesce("_chars", "_bytes", "_utf16", F.lit(False)))
     cut = F.expr("""CASE how WHEN 'sentence' THEN false WHEN 'structure' THEN false WHEN 'marked' THEN true WHEN 'comma' THEN true
-        WHEN 'number' THEN at_limit AND never WHEN 'dots' THEN at_limit OR goes_on ELSE at_limit OR goes_on END""")
+        WHEN 'number' THEN at_limit AND never WHEN 'dots' THEN at_limit OR (goes_on AND seen) ELSE at_limit OR goes_on END""")
     return judged.select(F.col("key").alias(key), "source", "how", "at_limit", "goes_on", F.coalesce(cut, F.lit(False)).alias("is_cut"))
 
 
