@@ -29,3 +29,28 @@ def with_margins(df: DataFrame, rank: str, rows: int, margin: int, out: str = "_
     own = F.expr(f"{rank} div {rows}")
     near = F.array(own, F.when((F.col(rank) % rows < margin) & (own > 0), own - 1), F.when(F.col(rank) % rows >= rows - margin, own + 1))
     return df.withColumn(out, F.explode(F.array_compact(near)))
+
+
+def neighbourhood(df: DataFrame, source: str, rank: str, back: int, ahead: int = 0, rows: int = 4096) -> tuple[DataFrame, Window]:
+    """For windows that reach a bounded number of ranks: rows copied into the blocks that need them, and the window.
+
+    Evaluate frames of at most ``back`` and ``ahead`` rows over the window, then keep ``_own`` rows. The window is
+    partitioned by block, so a hot source isn't one task.
+    """
+    own = F.expr(f"{rank} div {rows}")
+    blocks = F.array(own, F.when(F.col(rank) % rows >= rows - back, own + 1) if back else F.lit(None), F.when((F.col(rank) % rows < ahead) & (own > 0), own - 1) if ahead else F.lit(None))
+    out = df.withColumn("_blk", F.explode(F.array_compact(blocks))).withColumn("_own", F.col("_blk") == own)
+    return out, Window.partitionBy(source, "_blk").orderBy(rank)
+
+
+def running(df: DataFrame, source: str, rank: str, value: str, how: str, out: str, rows: int = 4096) -> DataFrame:
+    """Running ``sum`` or ``max`` of a column over a source's ranks, by block totals and offsets."""
+    agg = {"sum": F.sum, "max": F.max}[how]
+    b = df.withColumn("_rb", F.expr(f"{rank} div {rows}"))
+    totals = b.groupBy(source, "_rb").agg(agg(value).alias("_t"))
+    before = agg("_t").over(Window.partitionBy(source).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(source, "_rb", before.alias("_before"))
+    inside = agg(value).over(Window.partitionBy(source, "_rb").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
+    joined = b.withColumn("_inside", inside).join(offsets, [source, "_rb"])
+    both = F.coalesce(F.col("_before"), F.lit(0.0)) + F.col("_inside") if how == "sum" else F.greatest("_before", "_inside")
+    return joined.withColumn(out, both).drop("_rb", "_inside", "_before")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import analytics
 from tidemark.operators.regular_grid import regular_grid
 from tidemark.operators.spikes import implausible_readings
 from tidemark.operators.timestamps import resolve_instants
@@ -53,5 +54,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_grid(spark, sf_dir).filter("is_missing").select("series", "slot_ms")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_undeclared, p2_found, p5_found, p5_grid)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_undeclared, p2_found, p5_found, p5_grid)} | analytics.QUERIES
+ORACLE = dict(analytics.ORACLE)
