@@ -119,7 +119,7 @@ def _block(rows: int, noise):
         slots = ms // step
         mine, later = np.flatnonzero(own), np.flatnonzero((pdf["_rank"] // rows > blk).to_numpy())
         if not len(mine):  # only the margin of the source's last block
-            return pd.DataFrame({"series": [], "slot_ms": [], "value": [], "sd": [], "is_missing": []})
+            return pd.DataFrame({"series": [], "slot_ms": [], "value": [], "sd": [], "is_missing": []}, dtype=object)
         stop = slots[later[0]] if len(later) else slots[mine[-1]] + 1
         grid = np.arange(slots[mine[0]], stop)
         value, sd = smooth((ms - ms[0]) / step, y, (grid * step - ms[0]) / step, noise)
