@@ -232,7 +232,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, ite
                     for i in sorted(known.search(_hashed(words_of(t), vocabulary))):
                         a.append(key)
                         b.append(i)
-            yield pd.DataFrame({doc: a, item: b})
+            yield pd.DataFrame({doc: a, item: b}, dtype=object)
 
     src = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
     return src.mapInPandas(find, T.StructType([T.StructField(doc, src.schema["_doc"].dataType), T.StructField(item, items.schema[item].dataType)]))
