@@ -303,6 +303,17 @@ def trade_entries(spark, d):
 # -- bank -----------------------------------------------------------------------------------------
 
 
+def _in_order(b: DataFrame) -> DataFrame:
+    """Bank rows with their rank ``i`` in the episode, by tick, then row_id; legacy rows all have tick 0."""
+    b = b.withColumn("_o", F.struct("tick", "row_id")).withColumn("_b", F.when(F.col("tick") <= 0, F.expr("row_id div 4096")).otherwise(F.expr("tick div 2048 + 9223372036854")))
+    return ranked(b, "episode_id", "_o", "_b", "i")
+
+
+def _acts(spark, d) -> DataFrame:
+    b = table(spark, d, "memory_bank").filter("action is not null and episode_id is not null and tick is not null")
+    return _in_order(b.select("episode_id", "tick", "row_id", "action")).select("episode_id", "i", "action")
+
+
 @query("""WITH b AS (SELECT episode_id, count(*) FILTER (action = 0) a0, count(*) FILTER (action = 1) a1, count(*) FILTER (action = 2) a2, count(*) FILTER (action = 3) a3 FROM memory_bank GROUP BY 1), l AS (
   SELECT episode_id, unnest([0, 1, 2, 3]) AS action, unnest([a0, a1, a2, a3]) AS n, a0 + a1 + a2 + a3 AS t FROM b) SELECT episode_id, CAST(action AS INTEGER) AS action, n, round(CASE WHEN t > 0 THEN n / t END, 8) AS share FROM l""")
 def action_counts(spark, d):
@@ -310,24 +321,23 @@ def action_counts(spark, d):
     return rounded(D.dense_counts(table(spark, d, "memory_bank"), "action", 4, ["episode_id"]), 8, "share")
 
 
-@query("""WITH p AS (SELECT action AS f, lead(action) OVER (PARTITION BY episode_id ORDER BY tick, row_id) AS t FROM memory_bank WHERE action IS NOT NULL), c AS (SELECT f, t, count(*) AS n FROM p WHERE t IS NOT NULL GROUP BY ALL)
+@query("""WITH p AS (SELECT action AS f, lead(action) OVER (PARTITION BY episode_id ORDER BY tick, row_id) AS t FROM memory_bank WHERE action IS NOT NULL AND episode_id IS NOT NULL AND tick IS NOT NULL), c AS (SELECT f, t, count(*) AS n FROM p WHERE t IS NOT NULL GROUP BY ALL)
   SELECT f AS "from", t AS "to", n, round(n / (sum(n) OVER (PARTITION BY f) + 1e-9), 8) AS share FROM c""")
 def transition_matrix(spark, d):
     """A13, W10."""
-    return rounded(D.transition_matrix(table(spark, d, "memory_bank"), "episode_id", ["tick", "row_id"], "action"), 8, "share")
+    return rounded(D.transition_matrix(_acts(spark, d), "episode_id", "i", "action"), 8, "share")
 
 
-@query("""WITH x AS (SELECT episode_id, action, row_number() OVER (PARTITION BY episode_id ORDER BY tick, row_id) AS i, lag(action) OVER (PARTITION BY episode_id ORDER BY tick, row_id) AS p FROM memory_bank WHERE action IS NOT NULL),
+@query("""WITH x AS (SELECT episode_id, action, row_number() OVER (PARTITION BY episode_id ORDER BY tick, row_id) AS i, lag(action) OVER (PARTITION BY episode_id ORDER BY tick, row_id) AS p FROM memory_bank WHERE action IS NOT NULL AND episode_id IS NOT NULL AND tick IS NOT NULL),
   s AS (SELECT episode_id, i, action, lead(i) OVER (PARTITION BY episode_id ORDER BY i) - i AS n FROM x WHERE p IS NULL OR p <> action) SELECT episode_id, CAST(i AS INTEGER) AS start, n FROM s WHERE action = 3 AND n IS NOT NULL""")
 def hold_runs(spark, d):
     """Runs of HOLD, the last run of an episode left out."""
-    return D.code_runs(table(spark, d, "memory_bank"), "episode_id", ["tick", "row_id"], "action", 3)
+    return D.code_runs(_acts(spark, d), "episode_id", "i", "action", 3).withColumn("start", (F.col("start") + 1).cast("int"))
 
 
 def _rewards(spark, d) -> DataFrame:
     b = table(spark, d, "memory_bank").filter("mc_return is not null and not isnan(mc_return) and abs(mc_return) < float('infinity') and episode_id is not null and tick is not null")
-    b = b.withColumn("r", F.col("mc_return").cast("double")).withColumn("_o", F.struct("tick", "row_id")).withColumn("_b", F.when(F.col("tick") == 0, F.expr("row_id div 4096")).otherwise(F.expr("tick div 2048 + 9223372036854")))
-    return ranked(b, "episode_id", "_o", "_b", "i").select("episode_id", "row_id", "i", "r")
+    return _in_order(b).select("episode_id", "row_id", "i", F.col("mc_return").cast("double").alias("r"))
 
 
 @query("""WITH b AS (SELECT episode_id, row_id, CAST(mc_return AS DOUBLE) AS r, row_number() OVER (PARTITION BY episode_id ORDER BY tick, row_id) - 1 AS i FROM memory_bank WHERE mc_return IS NOT NULL AND isfinite(mc_return) AND episode_id IS NOT NULL AND tick IS NOT NULL)

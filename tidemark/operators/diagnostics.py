@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, EngineConfig
-from tidemark.plans.blocks import running
+from tidemark.plans.blocks import neighbourhood, next_rank, running
 
 
 def dense_counts(df: DataFrame, code: str, codes: int, by: list[str] | None = None) -> DataFrame:
@@ -47,20 +47,25 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None,
     return out.select(*cols, *([(F.col("n") / (F.col("total") * width)).alias("density")] if density else []))
 
 
-def transition_matrix(df: DataFrame, by: str, order: list[str], code: str) -> DataFrame:
-    """Counts of successive codes within a group and their shares of the first code (+1e-9 against empty rows)."""
-    nxt = F.lead(code).over(Window.partitionBy(by).orderBy(*order))
-    pairs = df.filter(F.col(code).isNotNull()).select(F.col(code).alias("from"), nxt.alias("to")).filter("to is not null").groupBy("from", "to").agg(F.count("*").alias("n"))
+def transition_matrix(df: DataFrame, by: str, rank: str, code: str) -> DataFrame:
+    """Counts of successive codes within a group and their shares of the first code (+1e-9 against empty rows).
+
+    ``rank`` counts the rows of a group from 0; codes aren't null.
+    """
+    near, w = neighbourhood(df.select(by, rank, code), by, rank, 0, 1)
+    pairs = near.withColumn("to", F.lead(code).over(w)).filter("_own and to is not null").groupBy(F.col(code).alias("from"), "to").agg(F.count("*").alias("n"))
     return pairs.withColumn("share", F.col("n") / (F.sum("n").over(Window.partitionBy("from")) + 1e-9))
 
 
-def code_runs(df: DataFrame, by: str, order: list[str], code: str, wanted: int) -> DataFrame:
-    """Lengths of runs of ``wanted`` within a group; a run that ends the group is left out."""
-    w = Window.partitionBy(by).orderBy(*order)
-    d = df.filter(F.col(code).isNotNull()).select(by, F.row_number().over(w).alias("i"), code, F.lag(code).over(w).alias("_p"))
-    starts = d.filter(F.col("_p").isNull() | (F.col("_p") != F.col(code))).select(by, "i", code)
-    nxt = F.lead("i").over(Window.partitionBy(by).orderBy("i"))
-    return starts.withColumn("n", nxt - F.col("i")).filter((F.col(code) == wanted) & F.col("n").isNotNull()).select(by, F.col("i").alias("start"), F.col("n").cast("bigint").alias("n"))
+def code_runs(df: DataFrame, by: str, rank: str, code: str, wanted: int) -> DataFrame:
+    """Lengths of runs of ``wanted`` within a group; a run that ends the group is left out.
+
+    ``rank`` counts the rows of a group from 0; codes aren't null.
+    """
+    near, w = neighbourhood(df.select(by, rank, code), by, rank, 1)
+    starts = near.withColumn("_p", F.lag(code).over(w)).filter(f"_own and (_p is null or _p <> {code})").select(by, rank, code)
+    ends = next_rank(starts, by, rank, "_end")
+    return ends.filter((F.col(code) == wanted) & F.col("_end").isNotNull()).select(by, F.col(rank).alias("start"), (F.col("_end") - F.col(rank)).alias("n"))
 
 
 def confusion(df: DataFrame, a: str, b: str) -> DataFrame:

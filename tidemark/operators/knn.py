@@ -26,7 +26,7 @@ def sound_states(df: DataFrame, state: str = "state") -> DataFrame:
 
 def _search(k: int, gap: int, self_excluded: bool):
     def search(bank: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qid": [], "bid": [], "dist": [], "excluded": []})
+        none = pd.DataFrame({"qid": [], "bid": [], "dist": [], "excluded": []}, dtype=object)
         if not len(bank) or not len(queries):
             return none
         x, bid = np.stack(bank["state"].to_numpy()).astype(np.float64), bank["bid"].to_numpy()

@@ -111,7 +111,7 @@ def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: Engine
         for tick, price, atr, state in zip(pdf["tick"], pdf["Close"], pdf["ATR_Scaled"], pdf["state"]):
             p, row = advance(p, int(tick), float(price), float(atr), np.asarray(state, dtype=np.float64), policy, cfg)
             out.append({episode: pdf[episode].iloc[0], "tick": tick, "price": price, **row})
-        return pd.DataFrame(out, columns=[episode, *[c.split()[0] for c in _OUT.split(", ")]]).astype({"entry": float}) if out else pd.DataFrame({c: [] for c in [episode, *[c.split()[0] for c in _OUT.split(", ")]]})
+        return pd.DataFrame(out, columns=[episode, *[c.split()[0] for c in _OUT.split(", ")]]).astype({"entry": float}) if out else pd.DataFrame({c: [] for c in [episode, *[c.split()[0] for c in _OUT.split(", ")]]}, dtype=object)
 
     kind = dict(states.dtypes)[episode]
     return states.select(episode, "tick", F.col("Close").cast("double"), F.col("ATR_Scaled").cast("double"), "state").groupBy(episode).applyInPandas(run, f"{episode} {kind}, {_OUT}")

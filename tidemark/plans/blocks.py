@@ -54,3 +54,12 @@ def running(df: DataFrame, source: str, rank: str, value: str, how: str, out: st
     joined = b.withColumn("_inside", inside).join(offsets, [source, "_rb"])
     both = F.coalesce(F.col("_before"), F.lit(0.0)) + F.col("_inside") if how == "sum" else F.greatest("_before", "_inside")
     return joined.withColumn(out, both).drop("_rb", "_inside", "_before")
+
+
+def next_rank(df: DataFrame, source: str, rank: str, out: str, rows: int = 4096) -> DataFrame:
+    """Add the rank of the source's next row (rows may lie any number of ranks apart); null for its last row."""
+    b = df.withColumn("_nb", F.expr(f"{rank} div {rows}"))
+    firsts = b.groupBy(source, "_nb").agg(F.min(rank).alias("_first"))
+    later = firsts.select(source, "_nb", F.lead("_first").over(Window.partitionBy(source).orderBy("_nb")).alias("_later"))
+    inside = F.lead(rank).over(Window.partitionBy(source, "_nb").orderBy(rank))
+    return b.withColumn("_inside", inside).join(later, [source, "_nb"]).withColumn(out, F.coalesce("_inside", "_later")).drop("_nb", "_inside", "_later")
