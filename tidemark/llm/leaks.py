@@ -43,6 +43,7 @@ _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180
 _TAG = re.compile(r"<[/!a-zA-Z][^<>]{0,400}>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _WORD = re.compile(r"[^\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -114,7 +115,9 @@ class Items:
         if len(ids) > MOST_ITEMS:
             raise ValueError(f"more than {MOST_ITEMS} test items")
         known: dict[str, int] = {}
-        hashed = [_hashed(words_of(t or ""), known) for t in texts]
+        sentences = [[w for part in _SENTENCE.split(t or "") if (w := words_of(part))] for t in texts]
+        hashed = [_hashed([w for part in parts for w in part], known) for parts in sentences]
+        begins = [set(np.cumsum([0, *map(len, parts)]).tolist()) for parts in sentences]
         if sum(map(len, hashed)) > MOST_ITEM_WORDS:
             raise ValueError(f"more than {MOST_ITEM_WORDS} words of test items")
         sets = [shingles(h) for h in hashed]
@@ -123,11 +126,17 @@ class Items:
         self.ids, self.texts, self.at = [], [], []  # one entry for each stretch of own text
         values: list[list[np.ndarray]] = [[] for _ in _MULTIPLY]
         owner: list[np.ndarray] = []
-        for i, h, s in zip(ids, hashed, sets):
-            own = np.ones(len(h), dtype=bool)
+        for i, h, s, starts in zip(ids, hashed, sets, begins):
+            common = np.zeros(len(h), dtype=bool)
             for k, x in enumerate(s.tolist()):
                 if shared[x] > 1:
-                    own[k : k + SHINGLE] = False
+                    common[k : k + SHINGLE] = True
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], common.astype(np.int8), [0]])))
+            own = np.ones(len(h), dtype=bool)
+            for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                lo = next((k for k in range(lo, lo + SHINGLE) if k in starts), lo)  # words before an instruction may be alike by chance
+                if hi - lo >= WORDS:
+                    own[lo:hi] = False
             edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
             for lo, hi in zip(edge[::2], edge[1::2]):
                 if hi - lo < WORDS:
@@ -214,8 +223,8 @@ def _reach(a: list[int], b: list[int], most: int) -> list[int]:
 def leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, item_text: str) -> DataFrame:
     """``doc, item``: each document that holds a passage of an item's own text (12 words, one edit in eight words).
 
-    Words of five-word shingles that several items hold are no own text; an item without 12 own words in a
-    row can't be found. Null and empty texts give nothing; repeated documents each give their rows, items of
+    Stretches of 12 or more words whose five-word shingles several items hold are no own text; an item without
+    12 own words in a row can't be found. Null and empty texts give nothing; repeated documents each give their rows, items of
     the same text are all reported. An empty table on either side gives an empty result.
     """
     rows = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).limit(MOST_ITEMS + 1).collect()

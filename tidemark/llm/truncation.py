@@ -131,22 +131,25 @@ def significant_lengths(texts: DataFrame) -> DataFrame:
     by = whole.orderBy("length")
     at = counts.withColumn("risk", F.sum("n").over(whole.orderBy(F.desc("length"))))
 
+    def at_least(shift: int) -> Column:
+        """Texts at least as long as this length and a shift: from bounded sums."""
+        if shift < 0:
+            return F.col("risk") + F.coalesce(F.sum("n").over(by.rangeBetween(shift, -1)), F.lit(0))
+        return F.col("risk") - F.coalesce(F.sum("n").over(by.rangeBetween(0, shift - 1)), F.lit(0)) if shift else F.col("risk")
+
     def pooled(lo: int, hi: int, lo2: int | None = None, hi2: int | None = None) -> Column:
         """Texts per text and length at risk, over lengths from lo to hi (and lo2 to hi2) relative to this one."""
         ended, exposed = F.lit(1.0), F.lit(1e-9)
         for a, b in ((lo, hi), (lo2, hi2)):
             if a is not None:
-                span = by.rangeBetween(a, b)
-                ended = ended + F.coalesce(F.sum("n").over(span), F.lit(0))
-                start = F.max("risk").over(by.rangeBetween(a, Window.unboundedFollowing))  # texts at least as long as its start
-                stop = F.max("risk").over(by.rangeBetween(b + 1, Window.unboundedFollowing))
-                exposed = exposed + (b - a + 1) * (F.coalesce(start, F.lit(0)) + F.coalesce(stop, F.lit(0))) / 2
+                ended = ended + F.coalesce(F.sum("n").over(by.rangeBetween(a, b)), F.lit(0))
+                exposed = exposed + (b - a + 1) * (at_least(a) + at_least(b + 1)) / 2
         return ended / F.greatest(exposed, F.lit(1.0))
 
     zone = by.rangeBetween(-SOFT, -1)
     tested = (at.withColumn("expected", F.col("risk") * pooled(-NEAR, -GAP, GAP, NEAR))
               .withColumn("zone_n", F.coalesce(F.sum("n").over(zone), F.lit(0)))
-              .withColumn("zone_expected", SOFT * (F.coalesce(F.first("risk").over(zone), F.col("risk")) + F.col("risk")) / 2 * pooled(-4 * SOFT, -SOFT - 1)))
+              .withColumn("zone_expected", SOFT * (at_least(-SOFT) + F.col("risk")) / 2 * pooled(-4 * SOFT, -SOFT - 1)))
     # upper tail of the Poisson distribution, by Chernoff's bound: never below the exact one
     def tail(n: Column, mu: Column) -> Column:
         n, mu = n.cast("double"), F.greatest(mu, F.lit(1e-9))
