@@ -94,15 +94,17 @@ def with_interpretations(df: DataFrame, text: str, zone: str, order: str, out: s
     def shift(us: str) -> str:
         return f"(unix_micros(from_utc_timestamp(timestamp_micros({us}), _tz)) - {us})"
 
-    def cands(us: str, fmt: str) -> str:
+    day = "86400000000"
+    early = lambda us: f"CASE WHEN _to is null AND _tz <> 'UTC' THEN {us} - {shift(f'({us} - {day})')} END"
+    late = lambda us: f"CASE WHEN _to is null AND _tz <> 'UTC' THEN {us} - {shift(f'({us} + {day})')} END"
+
+    def cands(us: str, e: str, f: str, fmt: str) -> str:
         """Of a local time: by its offsets, or by the zone of the series, where a clock change gives none or two."""
-        day = "86400000000"
-        early, late = f"({us} - {shift(f'({us} - {day})')})", f"({us} - {shift(f'({us} + {day})')})"
         ok = lambda u: f"{u} + {shift(u)} = {us}"
         one = lambda u, fold: f"named_struct('us', {u}, 'fmt', {fmt}, 'cost', 0D, 'fold', {fold})"
-        naive = f"CASE WHEN _tz = 'UTC' THEN array({one(us, 'false')}) WHEN {early} = {late} THEN array({one(early, 'false')}) WHEN {ok(early)} AND {ok(late)} THEN array({one(f'least({early}, {late})', 'true')}, {one(f'greatest({early}, {late})', 'true')}) WHEN {ok(early)} THEN array({one(early, 'false')}) WHEN {ok(late)} THEN array({one(late, 'false')}) ELSE {_NONE} END"
+        naive = f"CASE WHEN {e} = {f} THEN array({one(e, 'false')}) WHEN {ok(e)} THEN CASE WHEN {ok(f)} THEN array({one(f'least({e}, {f})', 'true')}, {one(f'greatest({e}, {f})', 'true')}) ELSE array({one(e, 'false')}) END WHEN {ok(f)} THEN array({one(f, 'false')}) ELSE {_NONE} END"
         given = f"CASE WHEN size(_to) = 1 THEN array({one(f'({us} - _to[0] * 60000000L)', 'false')}) ELSE transform(_to, (o, i) -> named_struct('us', {us} - o * 60000000L, 'fmt', {fmt}, 'cost', i * {RARER}D, 'fold', false)) END"
-        return f"CASE WHEN {us} is null THEN {_NONE} WHEN _to is null THEN {naive} ELSE {given} END"
+        return f"CASE WHEN {us} is null THEN {_NONE} WHEN _to is not null THEN {given} WHEN _tz = 'UTC' THEN array({one(us, 'false')}) ELSE {naive} END"
 
     fmt = "CASE _tf " + " ".join(f"WHEN '{k}' THEN {FORMATS['dmy' if k == 'slash' else k]}" for k in _PATTERNS) + " END"
     unit = lambda n: f"cast(_tn * {n} as bigint)"
@@ -111,7 +113,7 @@ def with_interpretations(df: DataFrame, text: str, zone: str, order: str, out: s
     keep = f"""CASE WHEN _tf = 'num' THEN {numeric} WHEN _tf is null THEN {_NONE}
       WHEN _tf <> 'slash' THEN _c1
       WHEN {order} = 'DMY' THEN if(_l1 is not null, _c1, _c2) WHEN {order} = 'MDY' THEN if(_l2 is not null, _c2, _c1)
-      WHEN _l1 = _l2 THEN _c1 ELSE concat(_c1, _c2) END"""
+      ELSE concat(_c1, _c2) END"""
     named = F.regexp_extract("_tr0", r"\[([^\]]+)\]$", 1)
     step = (
         df.withColumn("_t", F.expr(f"btrim({text}, concat(' ', chr(9), chr(10), chr(13), chr(160)))"))
@@ -125,8 +127,10 @@ def with_interpretations(df: DataFrame, text: str, zone: str, order: str, out: s
         .withColumn("_b1", F.expr(base)).withColumn("_b2", F.expr(base2))
         .withColumn("_l1", F.expr(local("_b1"))).withColumn("_l2", F.expr(local("_b2")))
     )
-    step = step.withColumn("_c1", F.expr(cands("_l1", fmt))).withColumn("_c2", F.expr(cands("_l2", str(FORMATS["mdy"]))))
-    inner = ["_t", "_tf", "_th", "_tr0", "_tb", "_tr", "_to", "_tz", "_tn", "_b1", "_b2", "_l1", "_l2", "_c1", "_c2"]
+    for i in "12":
+        step = step.withColumn(f"_e{i}", F.expr(early(f"_l{i}"))).withColumn(f"_f{i}", F.expr(late(f"_l{i}")))
+    step = step.withColumn("_fm", F.expr(fmt)).withColumn("_c1", F.expr(cands("_l1", "_e1", "_f1", "_fm"))).withColumn("_c2", F.expr(cands("_l2", "_e2", "_f2", str(FORMATS["mdy"]))))
+    inner = ["_t", "_tf", "_th", "_tr0", "_tb", "_tr", "_to", "_tz", "_tn", "_b1", "_b2", "_l1", "_l2", "_e1", "_e2", "_f1", "_f2", "_fm", "_c1", "_c2"]
     return step.withColumn(out, F.expr(keep).cast(_CANDS)).drop(*inner)
 
 
@@ -244,9 +248,10 @@ def resolve_instants(df: DataFrame, text: str, key: list[str], source: str, orde
     blocks = some.join(open_.select("_src").distinct(), "_src", "left_semi").groupBy("_src", "_blk").agg(F.min_by("_cands", at).alias("_first"), F.max_by("_cands", at).alias("_last"))
     fixed = blocks.join(ends, ["_src", "_blk"], "left").groupBy("_src").applyInPandas(_fix_ends, "_src string, _blk bigint, _i int, _j int")
     kinds = dict(slim.dtypes)
-    chosen = (inside.join(fixed, ["_src", "_blk"]).withColumn("_n", F.size("_cands")).groupBy("_src", "_blk")
+    different = F.size(F.array_distinct(F.col("_cands")["us"]))  # the fifth of May reads alike in both orders
+    chosen = (inside.join(fixed, ["_src", "_blk"]).withColumn("_n", different).groupBy("_src", "_blk")
               .applyInPandas(_choose, ", ".join(f"{c} {kinds.get(c, 'int')}" for c in [*keys, "_ord", "_txt", "_cands", "_blk", "_n"])))
-    settled = slim.join(open_, ["_src", "_blk"], "left_anti").unionByName(slim.join(open_, ["_src", "_blk"], "left_semi").filter(F.size("_cands") == 0)).withColumn("_n", F.size("_cands"))
+    settled = slim.join(open_, ["_src", "_blk"], "left_anti").unionByName(slim.join(open_, ["_src", "_blk"], "left_semi").filter(F.size("_cands") == 0)).withColumn("_n", different)
     both = settled.select(*keys, "_cands", "_n").unionByName(chosen.select(*keys, "_cands", "_n"))
     got = F.try_element_at("_cands", F.lit(1))
     return both.select(
