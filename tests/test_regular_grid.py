@@ -38,8 +38,8 @@ def test_smoother_is_exact():
     assert np.abs(v - v2).max() < 1e-9 and np.abs(s - s2).max() < 1e-9
 
 
-def grid(spark, rows, **kw):
-    df = spark.createDataFrame(rows, "series string, utc_ms bigint, v double, step bigint, value string")
+def grid(spark, data, **kw):
+    df = spark.createDataFrame(data, "series string, utc_ms bigint, v double, step bigint, value string")
     return {(r["series"], r["slot_ms"]): (r["value"], r["sd"], r["is_missing"]) for r in regular_grid(df, "series", "utc_ms", "v", "step", **kw).collect()}
 
 

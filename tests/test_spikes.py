@@ -16,8 +16,8 @@ def series(n=600, seed=0, name="a", start=0):
     return [[start + i, name, t0 + timedelta(hours=i), float(close[i]), float(volume[i]), t0 + timedelta(hours=i + 1), "x"] for i in range(n)]
 
 
-def found(spark, rows, **kw):
-    df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+def found(spark, data, **kw):
+    df = spark.createDataFrame([tuple(r) for r in data], SCHEMA)
     return {(r["row_id"], r["field"]): r["reason"] for r in implausible_readings(df, "row_id", "series", "Open_time", "ingest_time", **kw).collect()}
 
 
@@ -48,8 +48,9 @@ def test_flags(spark):
 
 def test_blocks_and_hot_source(spark):
     rows, want = dirty()
-    for size in (16, 64, 201):
-        assert set(found(spark, rows, rows=size, margin=16)) - {(i, "Close") for i in ()} >= want - {(120, "Volume")}, size
+    assert set(found(spark, rows, rows=201, margin=64)) == want
+    small = set(found(spark, rows, rows=32, margin=16))  # usual moves from few readings, runs over several blocks
+    assert small >= want - {(120, "Volume")} and len(small - want) <= 3
 
 
 def test_run_over_many_blocks(spark):
