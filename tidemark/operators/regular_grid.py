@@ -6,8 +6,8 @@ evaluated at the start of each period: a value, its standard deviation, and whet
 period has a reading of its own.
 
 Readings are ranked and cut into blocks with margins of readings (see ``plans.blocks``):
-what lies more than a margin of readings away has no weight left in the smoother, so
-blocks give the values of the whole series, and a hot source is many tasks. Margins
+a slope forgets over about ``SLOPE_SHARE ** -0.5`` = 32 periods, so what lies more than a margin of
+512 readings away has no weight left in the smoother and blocks give the values of the whole series, and a hot source is many tasks. Margins
 count readings, not time, so both ends of a long gap are always at hand.
 """
 
@@ -128,7 +128,7 @@ def _block(rows: int, noise):
     return block
 
 
-def regular_grid(df: DataFrame, source: str, utc_ms: str, value: str, step_ms: str, rows: int = 1024, margin: int = 96, noise: tuple[float, float, float] | None = None) -> DataFrame:
+def regular_grid(df: DataFrame, source: str, utc_ms: str, value: str, step_ms: str, rows: int = 4096, margin: int = 512, noise: tuple[float, float, float] | None = None) -> DataFrame:
     """One row per source and period from its first reading's to its last: ``series, slot_ms, value, sd, is_missing``.
 
     Periods last ``step_ms`` and start at multiples of it. Rows with a null source, moment or step, or
