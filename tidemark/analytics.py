@@ -506,12 +506,12 @@ def momentum(state, mask):
 
 def _trace(spark, d) -> DataFrame:
     f = _features(spark, d)
-    return Z.fold(W.open_loop_state(f).join(f.select("series", "tick", "Close", "ATR_Scaled"), ["series", "tick"]), "series", momentum)
+    return Z.fold(W.open_loop_state(f).join(f.select("series", "tick", "Close", "ATR_Scaled"), ["series", "tick"]), "series", Z.memory_policy(table(spark, d, "memory_bank")))
 
 
 @query()
 def position_trace(spark, d):
-    """ST2-ST9, ST13, ST17: the fold over all series (no SQL: golden values and batch/stream parity in the tests)."""
+    """ST2-ST9, ST13, ST17: the fold over all series, each tick decided by the vote of the memory bank (no SQL: golden values and batch/stream parity in the tests)."""
     return _trace(spark, d)
 
 

@@ -73,21 +73,29 @@ def advance(p: Position, tick: int, price: float, volatility: float, market: np.
 
 
 def bank_policy(states: np.ndarray, actions: np.ndarray, returns: np.ndarray, k: int = DEFAULT.k, cfg: EngineConfig = DEFAULT) -> Policy:
-    """Vote of the k nearest rows of a bank of bounded size (``bank_cap``); an empty bank holds."""
+    """Vote of the k nearest rows, by distance, then position, of a bank of bounded size (``bank_cap``); an empty bank holds.
+
+    Rows without a finite return or with an action below 0 are neighbours that don't vote.
+    """
     if len(states) > cfg.bank_cap:
         raise ValueError(f"a bank in a fold holds at most {cfg.bank_cap} rows; prune it first")
-    norm = (states.astype(np.float64) ** 2).sum(1)
+    states, valid = states.astype(np.float64), np.isfinite(returns) & (actions >= 0)
+    voted, weight = np.where(valid, actions, 0).astype(np.int64), np.where(valid, returns, 0.0)
+    norm = (states**2).sum(1)
 
     def policy(state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
         if not len(states):
             return HOLD, np.eye(4)[HOLD]
-        d2 = norm - 2 * states @ state.astype(np.float64)
+        state = state.astype(np.float64)
+        d2 = norm - 2 * (states @ state)
         n = min(k, len(states))
-        near = np.argpartition(d2, n - 1)[:n]
-        dist = np.sqrt(np.maximum(((states[near] - state) ** 2).sum(1), 0))
+        near = np.nonzero(d2 <= np.partition(d2, n - 1)[n - 1] + 1e-9 * (norm.max() + state @ state))[0]  # rounding must not decide ties
+        dist = np.sqrt(((states[near] - state) ** 2).sum(1))
+        first = np.lexsort((near, dist))[:n]
+        near, dist = near[first], dist[first]
         w = 1 / (dist + cfg.eps_dist)
         w = np.minimum(w, cfg.weight_cap * (np.median(w) + cfg.eps))
-        vote = np.bincount(actions[near], weights=w * returns[near], minlength=4)[:4]
+        vote = np.bincount(voted[near], weights=w * weight[near], minlength=4)[:4]
         masked = np.where(mask, vote, -np.inf)
         f = np.where(mask, vote, 0.0)
         s = np.where(mask, f - f.min() + cfg.eps, 0.0)
@@ -96,6 +104,29 @@ def bank_policy(states: np.ndarray, actions: np.ndarray, returns: np.ndarray, k:
     return policy
 
 
+def memory_policy(bank: DataFrame, k: int = DEFAULT.k, cfg: EngineConfig = DEFAULT) -> Policy:
+    """``bank_policy`` over the sound rows of a bank in order of row_id, pruned to ``bank_cap`` as the reference's memory is.
+
+    What travels to the tasks is bounded by the cap.
+    """
+    from tidemark.operators.knn import sound_states
+    from tidemark.operators.returns import prune
+
+    rows = prune(sound_states(bank).filter(F.size("state") == cfg.state_dim), cfg.bank_cap)
+    code, gain = F.coalesce(F.col("action").cast("int"), F.lit(-1)).alias("action"), F.coalesce(F.col("mc_return").cast("double"), F.lit(float("nan"))).alias("gain")
+    pdf = rows.select("row_id", code, gain, F.col("state").cast("array<float>").alias("state")).toPandas().sort_values("row_id")
+    states = np.stack(pdf["state"].to_numpy()).astype(np.float32) if len(pdf) else np.zeros((0, cfg.state_dim), np.float32)
+    shared = bank.sparkSession.sparkContext.broadcast((states, pdf["action"].to_numpy(dtype=np.int64), pdf["gain"].to_numpy(dtype=float)))
+    made: list[Policy] = []
+
+    def policy(state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
+        if not made:  # once a task
+            made.append(bank_policy(*shared.value, k, cfg))
+        return made[0](state, mask)
+
+    return policy
+
+
 _OUT = "tick bigint, price double, action int, pnl double, side string, entry double, entry_tick bigint, unrealised double, shares array<double>"
 
 
