@@ -16,6 +16,7 @@ from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions.scalars import argmax_first, top2_margin
 
 BANK_BLOCK, QUERY_BLOCK = 16_384, 4_096
+_PAIRS = 65_536  # whose differences are held at once
 
 _FOUND = "qid bigint, bid bigint, dist double, excluded boolean"
 
@@ -38,6 +39,7 @@ def _search(k: int, gap: int, self_excluded: bool):
             q = queries.iloc[lo : lo + 256]
             y, qid = np.stack(q["state"].to_numpy()).astype(np.float64), q["qid"].to_numpy()
             d2 = norm[None, :] - 2 * (y @ x.T)
+            slack = 1e-9 * (norm.max() + (y**2).sum(1))
             if self_excluded:
                 d2[qid[:, None] == bid[None, :]] = np.inf
             away = np.zeros(d2.shape, dtype=bool)
@@ -46,12 +48,9 @@ def _search(k: int, gap: int, self_excluded: bool):
                 away = (ep[:, None] == bep[None, :]) & (np.abs(tick[:, None] - btick[None, :]) < gap)
             for flag in (False, True) if gap > 0 else (False,):
                 d = np.where(away == flag, d2, np.inf)
-                keep = min(k + 8, d.shape[1])  # a few more: rounding of the product must not decide ties
-                best = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < d.shape[1] else np.tile(np.arange(keep), (len(q), 1))
-                ok = np.isfinite(np.take_along_axis(d, best, 1))
-                rows, cols = np.nonzero(ok)
-                at = best[rows, cols]
-                exact = np.sqrt(((y[rows] - x[at]) ** 2).sum(1))
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(q), np.inf)
+                rows, at = np.nonzero(np.isfinite(d) & (d <= (kth + slack)[:, None]))  # all that rounding or ties leave in question
+                exact = np.concatenate([np.sqrt(((y[rows[i : i + _PAIRS]] - x[at[i : i + _PAIRS]]) ** 2).sum(1)) for i in range(0, len(rows), _PAIRS)] or [np.empty(0)])
                 o = np.lexsort((bid[at], exact, rows))
                 rows, at, exact = rows[o], at[o], exact[o]
                 top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
