@@ -158,23 +158,29 @@ def trades_of(trace: DataFrame, episode: str) -> DataFrame:
     return closed.select(episode, F.col("_t").alias("entry_tick"), F.col("tick").alias("exit_tick"), (F.col("tick") - F.col("_t")).alias("duration"), F.col("_s").alias("side"), "pnl", F.col("_e").alias("entry_price"), F.col("price").alias("exit_price"), (F.col("pnl") > 0).alias("win"))
 
 
-def random_baseline(prices: DataFrame, trials: int = 1000, trades: int = 500, seed: int = 0, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Mean, spread and share of positive trials of a random policy; ``prices`` has tick 0..n-1 and Close.
+def random_baseline(prices: DataFrame, trials: int = 1000, trades: int = 500, seed: int = 0, cfg: EngineConfig = DEFAULT, by: str | None = None) -> DataFrame:
+    """Mean, spread and share of positive trials of a random policy, per group of ``by`` if given; ``prices`` has tick 0..n-1 and Close.
 
-    Reproducible: each draw is a hash of seed, trial and trade.
+    Reproducible: the draws of a group follow from seed and group, whatever the partitioning. A trade may begin and end anywhere
+    in its group, so a task holds the ticks and prices of one.
     """
-    from tidemark.functions.scalars import seeded_uniform
-
-    n = prices.agg(F.count("*").alias("n"))
-    draw = prices.sparkSession.range(trials * trades).withColumn("trial", F.expr(f"id div {trades}")).crossJoin(n)  # one row
-    u = lambda s: seeded_uniform(seed + s, F.col("id"))
-    draw = draw.withColumn("entry_tick", F.floor(u(1) * F.greatest(F.lit(1), F.col("n") - 33)).cast("bigint")).withColumn("hold", F.floor(u(2) * 32) + 1).withColumn("sgn", F.when(u(3) < 0.5, -1.0).otherwise(1.0))
-    draw = draw.withColumn("exit_tick", F.least(F.col("entry_tick") + F.col("hold"), F.col("n") - 1).cast("bigint"))
-    p1, p2 = (prices.select(F.col("tick").alias(t), F.col("Close").alias(c)) for t, c in (("entry_tick", "c1"), ("exit_tick", "c2")))
-    x = draw.join(p1, "entry_tick").join(p2, "exit_tick")
-    entry, exit_ = F.col("c1") * (1 + F.col("sgn") * cfg.commission), F.col("c2") * (1 - F.col("sgn") * cfg.commission)
-    per = x.withColumn("pnl", F.col("sgn") * (exit_ - entry) / entry).groupBy("trial").agg(F.sum("pnl").alias("pnl"))
-    return per.agg(F.avg("pnl").alias("mean"), F.stddev_pop("pnl").alias("std"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"))
+    group = by or "_all"
+    rows = prices.withColumn(group, F.lit(0)) if by is None else prices.filter(F.col(by).isNotNull())
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        close = pdf["Close"].to_numpy(dtype=float)[np.argsort(pdf["tick"].to_numpy())]
+        rng = np.random.default_rng([seed, *str(key[0]).encode()])
+        n, sums = len(close), []
+        for lo in range(0, trials, 100):
+            size = (min(100, trials - lo), trades)
+            at, hold, sgn = rng.integers(0, max(1, n - 33), size), rng.integers(1, 33, size), rng.choice([-1.0, 1.0], size)
+            entry, exit_ = close[at] * (1 + sgn * cfg.commission), close[np.minimum(at + hold, n - 1)] * (1 - sgn * cfg.commission)
+            sums.append((sgn * (exit_ - entry) / entry).sum(1))
+        pnl = np.concatenate(sums)
+        return pd.DataFrame({group: [key[0]], "mean": pnl.mean(), "std": pnl.std(), "win_rate": (pnl > 0).mean()})
+
+    out = rows.select(group, "tick", "Close").groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, mean double, std double, win_rate double")
+    return out if by else out.drop(group)
 
 
 def next_epsilon(epoch: int, cfg: EngineConfig = DEFAULT) -> float:
