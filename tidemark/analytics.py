@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import FEATURES
+from tidemark.config import DEFAULT, FEATURES
 from tidemark.functions import scalars as S
 from tidemark.operators import diagnostics as D
 from tidemark.operators import features as W
 from tidemark.operators import knn as K
 from tidemark.operators import returns as R
 from tidemark.operators import simulate as Z
+from tidemark.operators.timestamps import resolve_instants
 from tidemark.plans.blocks import ranked, running
 from tidemark.sources.candles import FIELDS, parse_klines
-from tidemark.storage import table
+from tidemark.storage import materialize, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -265,7 +268,7 @@ def decision_grid(spark, d):
 @query("""SELECT CAST(h AS INTEGER) AS hour, count(episode_id) FILTER (t.h2 IS NOT NULL) AS n, round(coalesce(avg(c), 0), 8) + 0.0 AS mean_value FROM range(24) AS q(h)
   LEFT JOIN (SELECT hour(ingest_time) AS h2, CASE WHEN isfinite(entry_conviction) THEN entry_conviction END AS c, coalesce(episode_id, 0) AS episode_id FROM trades) t ON t.h2 = h GROUP BY h""")
 def hour_profile(spark, d):
-    """A19, A20."""
+    """A19."""
     return rounded(D.profile(table(spark, d, "trades"), "ingest_time", "entry_conviction", "hour"), 8, "mean_value")
 
 
@@ -369,7 +372,7 @@ def prune_strata(spark, d):
   CASE WHEN "ATR_Scaled"::DOUBLE > q3 THEN 'high_vol' END, CASE WHEN "ATR_Scaled"::DOUBLE < q1 THEN 'low_vol' END], lambda v: v IS NOT NULL)) AS regime FROM x)
   SELECT regime, count(*) AS n, round(avg("RSI_Scaled"::DOUBLE), 6) + 0.0 AS mean_rsi FROM r GROUP BY regime""")
 def regime_mix(spark, d):
-    """Overlapping regimes."""
+    """Overlapping regimes."""
     r = D.with_regimes(_features(spark, d))
     return rounded(r.groupBy("regime").agg(F.count("*").alias("n"), F.avg(F.col("RSI_Scaled").cast("double")).alias("mean_rsi")), 6, "mean_rsi")
 
@@ -408,6 +411,50 @@ def action_entropy(spark, d):
     return e.select("episode_id", (F.round(S.entropy_bits(F.col("p")), 8) + 0.0).alias("entropy"), S.argmax_first(F.col("p")).alias("most"), (F.round(S.top2_margin(F.col("p")), 8) + 0.0).alias("margin"))
 
 
+_ENTRIES = """t AS (SELECT t.*, e.series FROM trades t JOIN epoch_metrics e ON t.episode_id = e.episode_id)"""
+
+
+def _entries(spark, d) -> DataFrame:
+    """Trades with the series of their episode; entry_tick counts its complete rows."""
+    t = _trades(spark, d).join(table(spark, d, "epoch_metrics").select("episode_id", "series"), "episode_id")
+    return t.withColumn("tick", F.col("entry_tick").cast("bigint"))
+
+
+@query("""WITH x AS (SELECT m.*, quantile_cont(CAST("ATR_Scaled" AS DOUBLE), 0.25) OVER () AS q1, quantile_cont(CAST("ATR_Scaled" AS DOUBLE), 0.75) OVER () AS q3 FROM (""" + _FEATURES + """) m), r AS (SELECT *, unnest(list_filter([
+  CASE WHEN "MeanDev_Scaled"::DOUBLE > 0.1 AND "ATR_Scaled" > 0 THEN 'trending_up' END, CASE WHEN "MeanDev_Scaled"::DOUBLE < -0.1 AND "ATR_Scaled" > 0 THEN 'trending_down' END, CASE WHEN "MeanDev_Scaled"::DOUBLE BETWEEN -0.1 AND 0.1 THEN 'ranging' END,
+  CASE WHEN "ATR_Scaled"::DOUBLE > q3 THEN 'high_vol' END, CASE WHEN "ATR_Scaled"::DOUBLE < q1 THEN 'low_vol' END], lambda v: v IS NOT NULL)) AS regime FROM x), """ + _ENTRIES + """
+  SELECT regime, count(win) AS n, round(avg(CAST(win AS INTEGER)), 8) AS win_rate FROM t JOIN r ON t.series = r.series AND t.entry_tick = r.tick GROUP BY regime HAVING count(win) >= 3""")
+def win_rate_by_regime(spark, d):
+    """Win rate by regime at entry; regimes with fewer than three trades are left out."""
+    r = D.with_regimes(_features(spark, d)).select("series", "tick", "regime")
+    out = _entries(spark, d).join(r, ["series", "tick"]).groupBy("regime").agg(F.count("win").alias("n"), F.avg(F.col("win").cast("double")).alias("win_rate"))
+    return rounded(out.filter("n >= 3"), 8, "win_rate")
+
+
+@query()
+def win_rate_by_entry_hour(spark, d):
+    """Win rate and count by hour (UTC) of the reading at entry (no SQL: its Open_time is text of many kinds)."""
+    m = table(spark, d, "master_processed")
+    at = resolve_instants(m.join(table(spark, d, "feeds").select("series", "tz_name", "date_order"), "series", "left"), "Open_time", ["row_id"], "series", "row_id", "tz_name", "date_order")
+    hour = at.filter("status in ('stated', 'inferred')").select("row_id", F.expr("pmod(floor(utc_ms / 3600000), 24)").cast("int").alias("hour"))
+    rows = W.feature_table(m, cfg=replace(DEFAULT, features=(*FEATURES, "row_id"))).select("series", "tick", "row_id")
+    t = _entries(spark, d).join(rows, ["series", "tick"]).join(hour, "row_id").filter("win is not null")
+    return t.groupBy("hour").agg(F.count("*").alias("n"), F.avg(F.col("win").cast("double")).alias("win_rate"))
+
+
+@query(f"""SELECT series, min("Close") AS price_min, max("Close") AS price_max FROM ({_CANDLES}) GROUP BY series""")
+def price_range(spark, d):
+    """Least and largest sound Close of each series."""
+    return _candles(spark, d).groupBy("series").agg(F.min("Close").alias("price_min"), F.max("Close").alias("price_max"))
+
+
+@query(_HIST.format(cols="won,", src="(SELECT *, pnl > 0 AS won, vote_margin_entry AS v FROM trades WHERE pnl IS NOT NULL AND isfinite(pnl))", by="won,", grp="GROUP BY won", n=20, vby="v.won,", join="JOIN e ON v.won = e.won", gby="g.won,", on="AND g.won = c.won", dens=""))
+def entry_margin_histogram(spark, d):
+    """Vote margin at entry, wins against losses."""
+    t = table(spark, d, "trades").filter(D.finite(F.col("pnl")).isNotNull()).withColumn("won", F.col("pnl") > 0)
+    return rounded(D.histogram(t, "vote_margin_entry", 20, ["won"]), 9, "left")
+
+
 # -- neighbours -----------------------------------------------------------------------------------
 
 
@@ -517,3 +564,42 @@ def position_trace(spark, d):
 def trace_trades(spark, d):
     """Closed trades of the trace."""
     return Z.trades_of(_trace(spark, d), "series")
+
+
+def _conviction(trace: DataFrame) -> DataFrame:
+    return trace.withColumn("conviction", F.array_max("shares")).withColumn("entropy", S.entropy_bits(F.col("shares")))
+
+
+@query()
+def conviction_by_action(spark, d):
+    """Histogram of the largest share per action of the trace."""
+    return D.histogram(_conviction(_trace(spark, d)), "conviction", 30, ["action"])
+
+
+@query()
+def regime_decisions(spark, d):
+    """Per regime the share of each action (10 ticks at least), and the spread of conviction and entropy (more than 10), over the trace."""
+    r = D.with_regimes(_features(spark, d)).select("series", "tick", "regime")
+    x = materialize(_conviction(_trace(spark, d)).join(r, ["series", "tick"]).select("regime", "action", "conviction", "entropy"), "decisions")
+    mix = x.groupBy("regime").agg(F.count("*").alias("n"), *[F.avg((F.col("action") == a).cast("double")).alias(f"share_{a}") for a in range(4)])
+    for c in ("conviction", "entropy"):
+        s = D.describe(x, c, ["regime"])
+        mix = mix.join(s.select("regime", *[F.when(F.col("n") > 10, F.col(q)).alias(f"{c}_{q}") for q in ("mean", "least", "q25", "median", "q75", "most")]), "regime")
+    return mix.filter("n >= 10")
+
+
+@query()
+def policy_confusion(spark, d):
+    """A12, ST14: action of the trace against the best vote of a second query without mask, and the share of ticks where they agree."""
+    bank = materialize(Z.memory_rows(table(spark, d, "memory_bank")), "bank")
+    before = F.coalesce(F.lag("side").over(Window.partitionBy("series").orderBy("tick")), F.lit(""))
+    held = F.when(before == "LONG", 1.0).when(before == "SHORT", -1.0).otherwise(0.0)
+    trace = _trace(spark, d).select("series", "tick", "action", held.alias("held"), "unrealised")
+    states = W.open_loop_state(_features(spark, d)).select("series", "tick", F.col("state").alias("market"))
+    own = F.array(F.col("held").cast("float"), F.col("unrealised").cast("float"))
+    q = trace.join(states, ["series", "tick"]).select("action", F.concat(F.slice("market", 1, DEFAULT.state_dim - 2), own).alias("state"))
+    none = F.lit(None).cast("bigint")
+    q = materialize(q.select(F.monotonically_increasing_id().alias("row_id"), none.alias("episode_id"), none.alias("tick"), "action", "state"), "trace")
+    v = K.votes(K.neighbour_weights(K.knn(q, bank), bank)).select(F.col("qid").alias("row_id"), F.col("action").alias("best_vote"))
+    c = D.confusion(q.join(v, "row_id"), "action", "best_vote")
+    return c.crossJoin(c.agg((F.sum(F.when(F.col("action") == F.col("best_vote"), F.col("n")).otherwise(0)) / F.sum("n")).alias("match_rate")))  # one row

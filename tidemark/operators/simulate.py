@@ -104,15 +104,17 @@ def bank_policy(states: np.ndarray, actions: np.ndarray, returns: np.ndarray, k:
     return policy
 
 
-def memory_policy(bank: DataFrame, k: int = DEFAULT.k, cfg: EngineConfig = DEFAULT) -> Policy:
-    """``bank_policy`` over the sound rows of a bank in order of row_id, pruned to ``bank_cap`` as the reference's memory is.
-
-    What travels to the tasks is bounded by the cap.
-    """
+def memory_rows(bank: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """The sound rows of a bank, pruned to ``bank_cap`` as the reference's memory is."""
     from tidemark.operators.knn import sound_states
     from tidemark.operators.returns import prune
 
-    rows = prune(sound_states(bank).filter(F.size("state") == cfg.state_dim), cfg.bank_cap)
+    return prune(sound_states(bank).filter(F.size("state") == cfg.state_dim), cfg.bank_cap)
+
+
+def memory_policy(bank: DataFrame, k: int = DEFAULT.k, cfg: EngineConfig = DEFAULT) -> Policy:
+    """``bank_policy`` over ``memory_rows`` in order of row_id; what travels to the tasks is bounded by the cap."""
+    rows = memory_rows(bank, cfg)
     code, gain = F.coalesce(F.col("action").cast("int"), F.lit(-1)).alias("action"), F.coalesce(F.col("mc_return").cast("double"), F.lit(float("nan"))).alias("gain")
     pdf = rows.select("row_id", code, gain, F.col("state").cast("array<float>").alias("state")).toPandas().sort_values("row_id")
     states = np.stack(pdf["state"].to_numpy()).astype(np.float32) if len(pdf) else np.zeros((0, cfg.state_dim), np.float32)
