@@ -5,8 +5,8 @@ of five-word shingles of documents; a document with more than 16 shingles is cut
 overlapping domains of 16, so that a passage of 12 words always lies whole in one
 and no domain is much larger than a query. Queries are the 12-word windows of the
 items' own text. The number of hash functions of each size partition follows from the
-least Jaccard similarity at which a domain of that size can hold a passage with one
-edit, at a stated chance to miss it.
+least Jaccard similarity at which a domain of that size can hold what the allowed edits
+leave of a passage, at a stated chance to miss it.
 
 A collision is verified on the texts: shared shingles are looked up exactly, and from each
 the alignment is extended both ways with as many edits as the length allows.
@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -83,9 +84,18 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return _mix(s)
 
 
+def kept() -> int:
+    """The fewest shingles that any passage with the edits its length allows shares with its item (2: of 16 words, with the 6th and 11th changed)."""
+    least = WORDS
+    for n in range(WORDS, 3 * PER_EDIT):  # longer ones keep more
+        for at in combinations(range(n), n // PER_EDIT):
+            least = min(least, sum(not any(i <= e < i + SHINGLE for e in at) for i in range(n - SHINGLE + 1)))
+    return least
+
+
 def bands(size: int, query: int = WORDS - SHINGLE + 1) -> int:
-    """Hash functions for domains of at most ``size`` shingles: a window with one edit keeps three of its eight."""
-    j = 3 / (query + size - 3)
+    """Hash functions for domains of at most ``size`` shingles: each kept shingle may be all that its window and the domain share."""
+    j = kept() / (query + size - 1)
     return math.ceil(math.log(MISS) / math.log(1 - j))
 
 
