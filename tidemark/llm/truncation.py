@@ -198,6 +198,7 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     known = known.join(finals, "c", "left").na.fill(0)
     goes_on = F.expr(f"""CASE WHEN c = '' THEN null
         WHEN l3 >= {SEEN} AND l3 > 4 * n3 THEN true
+        WHEN n3 < {SEEN} AND n1 = 0 AND l2 >= {SEEN} AND l2 > 4 * f1 THEN true
         WHEN f1 >= {SEEN} AND f1 >= 0.1 * (n1 + f1) THEN false
         WHEN n3 >= {SEEN} THEN e3 / n3 <= {ENDS}
         WHEN l2 >= {SEEN} AND l2 > 4 * n2 THEN true
