@@ -122,6 +122,13 @@ def rolling_slope(spark, d):
     return rounded(out, 4, "slope")
 
 
+@query()
+def rolling_slope_all(spark, d):
+    """As rolling_slope, with the nearly constant windows (no SQL: compared with a tolerance in the tests)."""
+    f = W.slopes(_features(spark, d).withColumn("x", F.col("RSI_Scaled").cast("double")), ["x"])
+    return f.select("series", "tick", F.col("x_slope").alias("slope"))
+
+
 @query(f"""SELECT series, tick, CASE WHEN count(*) OVER w = 20 THEN round(avg("Close") OVER w / "Close", 8) END AS mean_20 FROM ({_SERIES})
   WINDOW w AS (PARTITION BY series ORDER BY tick ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def rolling_mean_full(spark, d):
