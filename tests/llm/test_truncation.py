@@ -68,3 +68,19 @@ def test_edges(spark):
     assert 9002 not in ids and 9003 not in ids and ids.count(9006) == 2 and {9001, 9004, 9005} <= set(ids)
     report = {r["source"]: r for r in source_report(judged(spark, rows)).collect()}
     assert set(report) == {"limited", "free", "plain"} and report["free"]["n"] == 100
+
+
+def test_verdicts_stay_when_the_corpus_is_delivered_ten_times(spark):
+    rows, _ = corpus(2, 600)
+    once = {r["id"]: (r["is_cut"], r["kind"], r["at_limit"]) for r in judged(spark, rows).collect()}
+    many = [(10_000 * n + i, source, text, x) for n in range(10) for i, source, text, x in rows]
+    got = {r["id"]: (r["is_cut"], r["kind"], r["at_limit"]) for r in judged(spark, many).collect()}
+    assert {i % 10_000 for i in got} == set(once) and all(v == once[i % 10_000] for i, v in got.items())
+
+
+def test_kinds(spark):
+    rows, cut = corpus()
+    got = {r["id"]: r for r in judged(spark, rows).collect()}
+    assert {got[i]["kind"] for i in cut if rows[i][1] == "limited" and got[i]["is_cut"]} == {"limit"}
+    assert {r["kind"] for r in got.values() if r["source"] == "free" and r["is_cut"]} == {"transfer"}
+    assert all((r["kind"] is not None) == r["is_cut"] for r in got.values())
