@@ -4,7 +4,7 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 
-from tidemark.operators.timestamps import _own, _step, resolve_instants, viterbi
+from tidemark.operators.timestamps import MOST, Rows, _ends, resolve_instants, viterbi
 
 
 def run(spark, rows, **kw):
@@ -27,7 +27,7 @@ CASES = [
     # without a zone: Berlin
     ("2020-03-20T03:59:59.999000", ms(2020, 3, 20, 3, 59, 59, tz="Europe/Berlin") + 999), ("02/11/2024 12:14", ms(2024, 11, 2, 12, 14, tz="Europe/Berlin")), ("11/25/2024 12:14", ms(2024, 11, 25, 12, 14, tz="Europe/Berlin")),
     ("01.04.2022 11:14:59", ms(2022, 4, 1, 11, 14, 59, tz="Europe/Berlin")), ("20200317155959", ms(2020, 3, 17, 15, 59, 59, tz="Europe/Berlin")), ("Apr 10, 2022 12:29:59 AM", ms(2022, 4, 10, 0, 29, 59, tz="Europe/Berlin")),
-    ("2022-01-02", ms(2022, 1, 2, tz="Europe/Berlin")),
+    ("2022-01-02", ms(2022, 1, 2, tz="Europe/Berlin")), ("Do, 01. Dez. 2022 03:59:59 GMT", ms(2022, 12, 1, 3, 59, 59)), ("7 ene 2023 10:14:59 +0100", ms(2023, 1, 7, 9, 14, 59)),
 ]
 NOTHING = [None, "", "n/a", "NaT", "####", "0000-00-00 00:00:00", "2024-02-30 10:15:00", "2023-13-05T00:00:00Z", "2022-06-07 25:61:00", "2022-01-01 10:00:00 XQZ", "Apr 10, 2022 13:29:59 AM", "12345", "9" * 400, "2020-03-29 02:30:00"]
 
@@ -36,7 +36,7 @@ def test_forms_and_precisions(spark):
     rows = [(i, "s", "Europe/Berlin", "DMY", t) for i, t in enumerate([c[0] for c in CASES] + NOTHING)]
     got = run(spark, rows)
     for i, (t, want) in enumerate(CASES):
-        assert got[i] == (want, "stated"), (t, got[i], want)
+        assert got[i] == (want, "inferred" if t == "02/11/2024 12:14" else "stated"), (t, got[i], want)
     for i in range(len(CASES), len(rows)):
         assert got[i] == (None, "none"), rows[i]
 
@@ -72,12 +72,36 @@ def test_blocks_give_the_cost_of_one_search(spark):
     assert abs(cost(whole)[0] - cost(blocks)[0]) <= 2  # equal cost up to days that read alike in both orders
 
 
+def random_rows(rng, n, many=0.6):
+    k = np.where(rng.random(n) < many, rng.integers(2, 4, n), 1)
+    cost = np.where(np.arange(MOST) < k[:, None], rng.integers(0, 3, (n, MOST)).astype(float), np.inf)
+    return Rows(rng.integers(0, 9, (n, MOST)), cost, rng.integers(0, 3, (n, MOST)))
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        rows = [[{"us": int(rng.integers(0, 9)), "fmt": int(rng.integers(0, 3)), "cost": float(rng.integers(0, 3))} for _ in range(rng.integers(1, 4))] for _ in range(6)]
-        price = lambda p: sum(_own(r)[i] for r, i in zip(rows, p)) + sum(_step(a, b)[i, j] for a, b, i, j in zip(rows, rows[1:], p, p[1:]))  # noqa: B023
-        assert price(viterbi(rows)) == min(price(p) for p in itertools.product(*[range(len(r)) for r in rows]))
+    for _ in range(60):
+        rows = random_rows(rng, 6)
+        price = lambda p: sum(rows.cost[i, j] for i, j in enumerate(p)) + sum(rows.step(i, i + 1)[p[i], p[i + 1]] for i in range(len(p) - 1))  # noqa: B023
+        paths = list(itertools.product(*[range(int(np.isfinite(c).sum())) for c in rows.cost]))
+        assert price(viterbi(rows)) == min(map(price, paths))
+        ends, base = _ends(rows), None
+        for a in range(int(np.isfinite(rows.cost[0]).sum())):
+            for b in range(int(np.isfinite(rows.cost[-1]).sum())):
+                least = min(price(p) for p in paths if p[0] == a and p[-1] == b)
+                assert price(viterbi(rows, None, a, b)) == least
+                base = least - ends[a, b] if base is None else base
+                assert abs(least - ends[a, b] - base) < 1e-9
+
+
+def test_a_declared_order_weighs_and_the_search_decides(spark):
+    late = [(i, "s", "UTC", "DMY", t) for i, t in enumerate(["2024-04-02T00:00:00Z", "03/04/2024 00:00", "2024-04-04T00:00:00Z", "01/02/2024 00:00", "2024-04-05T00:00:00Z"])]
+    got = run(spark, late)
+    assert got[1] == (ms(2024, 4, 3), "inferred") and got[3] == (ms(2024, 2, 1), "inferred")  # a late row keeps the declared order
+    none = run(spark, [(i, s, z, None, t) for i, s, z, _, t in late])
+    assert none[1] == (ms(2024, 4, 3), "inferred")  # without a declaration, the order of time decides
+    skipped = run(spark, [(0, "s", "America/New_York", "DMY", "10/03/2024 02:30"), (1, "s", "America/New_York", "MDY", "03/10/2024 02:30")])
+    assert skipped[1] == (None, "none") and skipped[0] == (None, "none")
 
 
 def test_empty_clashing_and_repeated(spark):
