@@ -289,7 +289,8 @@ def resolve_instants(df: DataFrame, text: str, key: list[str], source: str, orde
     flat = [at(i, f, o).alias(f"{c}{i}") for c, f, o in (("u", "us", 0), ("c", "cost", float("inf")), ("m", "fmt", 0), ("k", "kind", 0)) for i in range(MOST)]
     different = F.size(F.array_distinct(F.col("_cands")["us"]))  # the fifth of May reads alike in both orders
     inside = some.withColumn("_i", F.row_number().over(by)).withColumn("_near", near).filter("_near").select(*keys, "_src", "_blk", "_i", different.alias("_n"), *flat)
-    inside = materialize(inside, "search")
+    # few bytes but much work: by a number of partitions of its own, which aren't joined
+    inside = materialize(inside, "search").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_src", "_blk")
     side = ", ".join(f"_{s}{c} array<{t}>" for s in "ab" for c, t in (("u", "bigint"), ("c", "double"), ("m", "int")))
     ends = inside.drop(*keys).groupBy("_src", "_blk").applyInPandas(_summary, f"_src string, _blk bigint, _ends array<double>, {side}")
     fixed = ends.groupBy("_src").applyInPandas(_fix_ends, "_src string, _blk bigint, _first int, _last int")
