@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.leaks import Items, _hashed, leaks, words_of
+from tidemark.llm.leaks import _hashed, leaks, shingles, verified, words_of
 
 
 def word(rng):
@@ -73,18 +73,36 @@ def test_edges(spark):
     assert found(spark, [(9, its[0][1])], same) == {(9, 1), (9, 2)}
 
 
-def test_search_against_brute_force():
+def test_search_against_brute_force(spark):
     rng = random.Random(7)
     its = items(rng, 10)
-    known = Items([i for i, _ in its], [t for _, t in its])
-    voc = {}
-    miss = n = 0
-    for _ in range(300):
+    docs, want = [], set()
+    for n in range(300):
         i, t = rng.choice(its)
         own = words_of(t.split(".")[0])
         at = rng.randint(0, len(own) - 13)
-        h = _hashed([word(rng) for _ in range(rng.randint(0, 60))] + edited(rng, own[at : at + 13], 1) + [word(rng) for _ in range(rng.randint(0, 60))], voc)
-        hit = any(known._verify(known.texts[p], k, np.asarray(h), d) for p in range(len(known.ids)) if known.ids[p] == i for d in range(len(h) - 4) for k in range(len(known.texts[p]) - 4) if known.texts[p][k : k + 5] == h[d : d + 5].tolist())
-        n += hit
-        miss += hit and i not in known.search(h)
-    assert n > 200 and miss <= 0.02 * n
+        words = [word(rng) for _ in range(rng.randint(0, 60))] + edited(rng, own[at : at + 13], 1) + [word(rng) for _ in range(rng.randint(0, 60))]
+        docs.append((n, " ".join(words)))
+        if verified(_hashed(own), _hashed(words)):
+            want.add((n, i))
+    got = found(spark, docs, its)
+    assert len(want) > 200 and got <= want and len(want - got) <= 0.02 * len(want)
+
+
+def test_containment_is_exact(spark):
+    rng = random.Random(8)
+    its = [(i, " ".join(word(rng) for _ in range(20)) + ".") for i in range(3)]
+    own = words_of(its[1][1])
+    d = spark.createDataFrame([(1, " ".join(own[:14])), (2, " ".join([*own, "x", *own]))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in leaks(d, spark.createDataFrame(its, "item_id bigint, text string"), "doc_id", "text", "item_id", "text").collect()}
+    n = len(set(shingles(_hashed(own)).tolist()))
+    assert (got[1]["shared"], got[1]["containment"]) == (10, 10 / n) and got[2]["containment"] == 1.0
+
+
+def test_short_shared_instructions_and_long_tags(spark):
+    rng = random.Random(9)
+    its = [(i, " ".join(word(rng) for _ in range(20)) + ". Answer with one letter and give no other words here.") for i in range(4)]
+    own, shared = its[0][1].split(".")[0].split(), its[0][1].split(". ")[1]
+    tag = "<span data-x='" + "y" * 900 + "'>"
+    docs = [(1, " ".join(own[-3:]) + ". " + shared), (2, " ".join(own[:6]) + " " + tag + " " + " ".join(own[6:12])), (3, " ".join(own[-9:]) + ". " + shared)]
+    assert found(spark, docs, its) == {(2, 0)}

@@ -1,18 +1,22 @@
 """Problem 7: passages of held-out test items inside documents.
 
 Size-partitioned MinHash containment search (an LSH ensemble). Domains are the sets
-of five-word shingles of documents; a document with more than 16 shingles is cut into
-overlapping domains of 16, so that a passage of 12 words always lies whole in one
-and no domain is much larger than a query. Queries are the 12-word windows of the
+of five-word shingles of documents. Against a passage of 12 words the Jaccard similarity of a whole long document vanishes, so
+a document with more than 16 shingles is cut into overlapping domains of 16, in one of which a passage of 12 words lies whole;
+the size partitions are those of the domains. Queries are the 12-word windows of the
 items' own text. The number of hash functions of each size partition follows from the
 least Jaccard similarity at which a domain of that size can hold what the allowed edits
 leave of a passage, at a stated chance to miss it.
 
-A collision is verified on the texts: shared shingles are looked up exactly, and from each
-the alignment is extended both ways with as many edits as the length allows.
+The index of the items' hash values is a table, and the search an equi-join with it, so there may be any number of items. To
+spare the shuffle, values of documents pass a Bloom filter of the index first; it is at most ``MOST_BITS`` bits
+whatever the number of items, and lets through all that the join could find. A value that many documents
+have is split by salts.
 
-There is no shuffle: the queries' hash values are a table of bounded size (see ``MOST_ITEMS``),
-sent with the plan; each batch of documents is searched where it is read.
+A collision is verified on the words around it: shared shingles are looked up exactly, and from each
+the alignment is extended both ways with as many edits as the length allows. A passage of any length with one edit in eight words holds
+a piece of 12 to 23 words of which the same is true, so the words around a domain that a piece can reach are enough.
+The exact containment of the item's shingles in the verified stretches is reported.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ import html
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,20 +35,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.storage import materialize
+
 SHINGLE = 5
 WORDS = 12  # least passage
 PER_EDIT = 8  # one word in eight may differ
+PIECE = 2 * WORDS - 1  # every longer passage holds a piece of at most so many words
 BLOCK, STRIDE = 16, 8  # shingles in a domain of a long document
 MISS = 0.002
-#: The items are a held-out test set; more than these are refused rather than sent to every task.
-MOST_ITEMS, MOST_ITEM_WORDS = 50_000, 2_000_000
+BITS, CHECKS, MOST_BITS = 32, 5, 1 << 28  # of the Bloom filter: per value, looked up per value, and in all (32 MB)
+SALTS = 8
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
-_TAG = re.compile(r"<[/!a-zA-Z][^<>]{0,400}>")
+_TAG = re.compile(r"<[/!a-zA-Z][^<>]*>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_OFFSETS = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
@@ -69,10 +76,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed(words: list[str], known: dict[str, int]) -> np.ndarray:
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+def _hashed(words: list[str]) -> np.ndarray:
+    """A hash for each word; equal words are hashed once."""
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    code, known = pd.factorize(np.array(words, dtype=object))
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in known), dtype=np.uint64, count=len(known))[code]
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -108,103 +117,162 @@ def _permuted(s: np.ndarray, j: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * _MULTIPLY[j]
 
 
-def _minima(s: np.ndarray, j: int) -> np.ndarray:
-    """MinHash value of each domain of a document under hash function j."""
-    p = _permuted(s, j)
-    if len(p) <= BLOCK:
-        return p.min(keepdims=True)
-    pad = -len(p) % STRIDE
-    m = np.concatenate([p, np.full(pad, _FULL)]).reshape(-1, STRIDE).min(axis=1)
-    return np.minimum(m[:-1], m[1:])
-
-
-class Items:
-    """The own text of the items and the MinHash values of its windows."""
-
-    def __init__(self, ids: list, texts: list[str | None]):
-        if len(ids) > MOST_ITEMS:
-            raise ValueError(f"more than {MOST_ITEMS} test items")
-        known: dict[str, int] = {}
-        sentences = [[w for part in _SENTENCE.split(t or "") if (w := words_of(part))] for t in texts]
-        hashed = [_hashed([w for part in parts for w in part], known) for parts in sentences]
-        begins = [set(np.cumsum([0, *map(len, parts)]).tolist()) for parts in sentences]
-        if sum(map(len, hashed)) > MOST_ITEM_WORDS:
-            raise ValueError(f"more than {MOST_ITEM_WORDS} words of test items")
-        sets = [shingles(h) for h in hashed]
-        different = {h.tobytes(): s for h, s in zip(hashed, sets)}
-        shared = Counter(x for s in different.values() for x in set(s.tolist()))
-        self.ids, self.texts, self.at = [], [], []  # one entry for each stretch of own text
-        values: list[list[np.ndarray]] = [[] for _ in _MULTIPLY]
-        owner: list[np.ndarray] = []
-        for i, h, s, starts in zip(ids, hashed, sets, begins):
-            common = np.zeros(len(h), dtype=bool)
-            for k, x in enumerate(s.tolist()):
-                if shared[x] > 1:
-                    common[k : k + SHINGLE] = True
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], common.astype(np.int8), [0]])))
-            own = np.ones(len(h), dtype=bool)
-            for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                lo = next((k for k in range(lo, lo + SHINGLE) if k in starts), lo)  # words before an instruction may be alike by chance
-                if hi - lo >= WORDS:
-                    own[lo:hi] = False
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-            for lo, hi in zip(edge[::2], edge[1::2]):
-                if hi - lo < WORDS:
-                    continue
-                part = shingles(h[lo:hi])
-                where: dict[int, list[int]] = {}
-                for k, x in enumerate(part.tolist()):
-                    where.setdefault(x, []).append(k)
-                n = hi - lo - WORDS + 1
-                owner.append(np.full(n, len(self.ids)))
-                self.ids.append(i)
-                self.texts.append(h[lo:hi].tolist())
-                self.at.append(where)
-                for j in range(len(_MULTIPLY)):
-                    values[j].append(np.lib.stride_tricks.sliding_window_view(_permuted(part, j), WORDS - SHINGLE + 1).min(axis=1))
-        self.keys, self.owners = [], []
-        who = np.concatenate(owner) if owner else np.empty(0, dtype=np.int64)
-        for v in values:
-            v = np.concatenate(v) if v else np.empty(0, dtype=np.uint64)
-            pairs = np.unique(np.rec.fromarrays([v, who])) if len(v) else np.rec.fromarrays([v, who])
-            self.keys.append(np.ascontiguousarray(pairs["f0"]))
-            self.owners.append(np.ascontiguousarray(pairs["f1"]))
-
-    def search(self, h: np.ndarray) -> set:
-        """Items of which a document's words hold a passage."""
-        s = shingles(h)
-        if len(h) < WORDS - 1 or not self.ids:
-            return set()
-        todo: set[tuple[int, int]] = set()
-        for j in range(next(b for u, b in PARTITIONS if len(s) <= u or u == BLOCK)):
-            m, keys = _minima(s, j), self.keys[j]
-            lo = np.searchsorted(keys, m)
-            hit = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == m))
-            for d in hit.tolist():
-                k = int(lo[d])
-                while k < len(keys) and keys[k] == m[d]:
-                    todo.add((d, int(self.owners[j][k])))
-                    k += 1
-        found: set = set()
-        tried: set[tuple[int, int, int]] = set()
-        for d, part in sorted(todo):
-            if self.ids[part] in found:
-                continue
-            base = d * STRIDE
-            for pos, x in enumerate(s[base : base + BLOCK].tolist(), base):
-                for k in self.at[part].get(x, ()):
-                    if (part, pos, k) not in tried:
-                        tried.add((part, pos, k))
-                        if self._verify(self.texts[part], k, h, pos):
-                            found.add(self.ids[part])
-        return found
-
-    @staticmethod
-    def _verify(item: list[int], k: int, doc: np.ndarray, pos: int) -> bool:
-        most = len(item) // PER_EDIT
-        left = _reach(item[:k][::-1], doc[max(0, pos - k - most - 1) : pos][::-1].tolist(), most)
-        right = _reach(item[k + SHINGLE :], doc[pos + SHINGLE : pos + len(item) + most + 1].tolist(), most)
-        return any(left[a] + SHINGLE + right[b] >= max(WORDS, PER_EDIT * (a + b)) for a in range(most + 1) for b in range(most + 1 - a))
+def _key(value: np.ndarray, j: int) -> np.ndarray:
+    """A MinHash value under function ``j`` as one number to join on."""
+    return _mix(value ^ _OFFSETS[j]).view(np.int64)
+
+
+def _positions(key: np.ndarray, check: int, bits: int) -> np.ndarray:
+    return _mix(key.view(np.uint64) + _OFFSETS[check]) & np.uint64(bits - 1)
+
+
+class Filter:
+    """A Bloom filter of the index's keys."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    def passes(self, key: np.ndarray) -> np.ndarray:
+        """Positions of keys that may be in the index."""
+        at = np.arange(len(key))
+        for check in range(CHECKS):
+            p = _positions(key[at], check, self.bits)
+            at = at[(self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0]
+        return at
+
+
+def windows(h: np.ndarray) -> np.ndarray:
+    """Keys of the 12-word windows of a stretch of an item's own words, each once."""
+    part, n = shingles(h), WORDS - SHINGLE + 1
+    keys = [_key(np.lib.stride_tricks.sliding_window_view(_permuted(part, j), n).min(axis=1), j) for j in range(len(_MULTIPLY))]
+    return np.unique(np.concatenate(keys))
+
+
+def _sentences(text: str | None) -> list[list[str]]:
+    return [w for part in _SENTENCE.split(text or "") if (w := words_of(part))]
+
+
+def _name(words: list[str], kind: str = "") -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(kind + " ".join(words))).view(np.int64))
+
+
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What an item's text may share with others: its sentences and its shingles."""
+    for pdf in batches:
+        names, marks = [], []
+        for t in pdf["t"]:
+            parts = _sentences(t)
+            words = [w for part in parts for w in part]
+            found = {_name(part, "sentence ") for part in parts} | set(shingles(_hashed(words)).view(np.int64).tolist())
+            names += [_name(words)] * len(found)
+            marks += found
+        yield pd.DataFrame({"th": names, "mark": marks}, dtype="int64")
+
+
+def own_stretches(text: str, shared: set[int]) -> list[np.ndarray]:
+    """The words, hashed, of each stretch of at least 12 words that belong to an item alone.
+
+    A sentence that other items have too, of any length, isn't its own, nor is a stretch of 12 or more words all of whose shingles
+    others have.
+    """
+    parts = _sentences(text)
+    h = _hashed([w for part in parts for w in part])
+    begins = np.cumsum([0, *map(len, parts)]).tolist()
+    starts, own, common = set(begins), np.ones(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
+    for part, lo, hi in zip(parts, begins, begins[1:]):
+        if _name(part, "sentence ") in shared:
+            own[lo:hi] = False
+    for k, x in enumerate(shingles(h).view(np.int64).tolist()):
+        if x in shared:
+            common[k : k + SHINGLE] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], common.astype(np.int8), [0]])))
+    for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        lo = next((k for k in range(lo, lo + SHINGLE) if k in starts), lo)  # words before an instruction may be alike by chance
+        if hi - lo >= WORDS:
+            own[lo:hi] = False
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+    return [h[lo:hi] for lo, hi in zip(edge[::2], edge[1::2]) if hi - lo >= WORDS]
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(th, part, h.tobytes()) for th, t, shared in zip(pdf["th"], pdf["t"], pdf["shared"]) for part, h in enumerate(own_stretches(t, set() if shared is None else set(shared)))]
+        if rows:
+            yield pd.DataFrame(rows, columns=["th", "part", "words"])
+
+
+def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        keys = [windows(np.frombuffer(w, dtype=np.uint64)) for w in pdf["words"]]
+        n = [len(k) for k in keys]
+        if keys:
+            yield pd.DataFrame({"key": np.concatenate(keys), "th": np.repeat(pdf["th"].to_numpy(dtype=np.int64), n), "part": np.repeat(pdf["part"].to_numpy(dtype=np.int32), n)})
+
+
+def _bits(bits: int):
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in (b for b in batches if len(b)):
+            at = np.unique(np.concatenate([_positions(pdf["key"].to_numpy(), c, bits) for c in range(CHECKS)]))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+            yield pd.DataFrame({"at": word.astype(np.int64), "bits": value.view(np.int64)})
+
+    return put
+
+
+def domains(texts: list[str], known: Filter) -> list[tuple[int, np.ndarray, bytes]]:
+    """Of each domain with values that may be in the index: number of its text, these keys, and the words (hashed) around it."""
+    words = [words_of(t) for t in texts]
+    size = np.array([len(w) if len(w) >= WORDS - 1 else 0 for w in words], dtype=np.int64)  # one of twelve words may be missing
+    h = _hashed([x for w, n in zip(words, size) if n for x in w])
+    doc = np.repeat(np.arange(len(texts)), size)
+    if not len(h):
+        return []
+    begin = np.cumsum(size) - size
+    s = shingles(h)
+    inside = doc[: len(s)] == doc[SHINGLE - 1 :]
+    v, owner = s[inside], doc[: len(s)][inside]
+    place = np.arange(len(h))[: len(s)][inside] - begin[owner]  # of a shingle in its text
+    chunk = np.flatnonzero(place % STRIDE == 0)  # starts of runs of STRIDE shingles
+    last = np.append(owner[chunk][1:] != owner[chunk][:-1], True)
+    alone = last & np.append(True, last[:-1])  # the only run of its text
+    first = np.flatnonzero(~last | alone)
+    second = np.where(alone[first], first, first + 1)
+    small = alone[first]
+    hits: list[tuple[np.ndarray, np.ndarray]] = []
+    for j in range(len(_MULTIPLY)):
+        least = np.minimum.reduceat(_permuted(v, j), chunk)
+        d = np.arange(len(first)) if j < PARTITIONS[0][1] else np.flatnonzero(~small)
+        key = _key(np.minimum(least[first[d]], least[second[d]]), j)
+        ok = known.passes(key)
+        hits.append((d[ok], key[ok]))
+    d, key = (np.concatenate(x) for x in zip(*hits))
+    order = np.argsort(d, kind="stable")
+    d, key = d[order], key[order]
+    who, start = np.unique(d, return_index=True)
+    out = []
+    for i, lo, hi in zip(who.tolist(), start.tolist(), [*start[1:].tolist(), len(d)]):
+        at = chunk[first[i]]
+        t, p = int(owner[at]), int(place[at])
+        lo_w, hi_w = max(0, p - PIECE), min(int(size[t]), p + BLOCK + SHINGLE - 1 + PIECE)
+        out.append((t, key[lo:hi], h[begin[t] + lo_w : begin[t] + hi_w].tobytes()))
+    return out
+
+
+def verified(item: np.ndarray, doc: np.ndarray) -> set[int]:
+    """Shingles of an item's stretch that a stretch of a document shares, if the latter holds a passage of it."""
+    ours, theirs = shingles(item), shingles(doc).tolist()
+    where: dict[int, list[int]] = {}
+    for k, x in enumerate(ours.tolist()):
+        where.setdefault(x, []).append(k)
+    item, most = item.tolist(), min(len(item), PIECE) // PER_EDIT
+    for pos, x in enumerate(theirs):
+        for k in where.get(x, ()):
+            left = _reach(item[:k][::-1], doc[max(0, pos - k - most - 1) : pos][::-1].tolist(), most)
+            right = _reach(item[k + SHINGLE :], doc[pos + SHINGLE : pos + len(item) + most + 1].tolist(), most)
+            if any(left[a] + SHINGLE + right[b] >= max(WORDS, PER_EDIT * (a + b)) for a in range(most + 1) for b in range(most + 1 - a)):
+                return where.keys() & set(theirs)
+    return set()
 
 
 def _reach(a: list[int], b: list[int], most: int) -> list[int]:
@@ -231,27 +299,69 @@ def _reach(a: list[int], b: list[int], most: int) -> list[int]:
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, item_text: str) -> DataFrame:
-    """``doc, item``: each document that holds a passage of an item's own text (12 words, one edit in eight words).
+    """``doc, item, shared, containment``: each document that holds a passage of an item's own text (12 words, one edit in eight words).
 
-    Stretches of 12 or more words whose five-word shingles several items hold are no own text; an item without
-    12 own words in a row can't be found. Null and empty texts give nothing; repeated documents each give their rows, items of
-    the same text are all reported. An empty table on either side gives an empty result.
+    shared: how many different shingles of the item's own text stand in the verified stretches; containment: their share of
+    all of these. Sentences that several items hold, of any length, and stretches of 12 or more words whose shingles several items hold,
+    are no own text; an item without 12 own words in a row can't be found. Null and empty texts give nothing; repeated documents each give
+    their rows, items of the same text are all reported. An empty table on either side gives an empty result.
     """
-    rows = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).limit(MOST_ITEMS + 1).collect()
-    known = Items([r["i"] for r in rows], [r["t"] for r in rows])
+    spark = docs.sparkSession
+    its = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).filter("length(t) > 0")
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary: dict[str, int] = {}
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(th=[_name([w for part in _sentences(t) for w in part]) for t in pdf["t"]])
+
+    named = materialize(its.mapInPandas(name, T.StructType([T.StructField("i", items.schema[item].dataType), T.StructField("t", T.StringType()), T.StructField("th", T.LongType())])), "items")
+    texts = named.groupBy("th").agg(F.min("t").alias("t"))
+    marks = materialize(texts.select("t").mapInPandas(_marks, "th bigint, mark bigint"), "marks")
+    shared = marks.groupBy("mark").agg(F.min("th").alias("_a"), F.max("th").alias("_b")).filter("_a <> _b").select("mark")
+    common = marks.join(shared, "mark").groupBy("th").agg(F.collect_set("mark").alias("shared"))
+    parts = materialize(texts.join(common, "th", "left").mapInPandas(_parts, "th bigint, part int, words binary"), "parts")
+    index = materialize(parts.mapInPandas(_index, "key bigint, th bigint, part int"), "index")
+    bits = 1 << max(10, min(MOST_BITS, BITS * max(1, index.count())).bit_length() - 1)
+    put = index.select("key").mapInPandas(_bits(bits), "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most MOST_BITS / 64 rows
+    filled = np.zeros(bits // 64, dtype=np.int64)
+    filled[put["at"].to_numpy(dtype=np.int64)] = put["bits"].to_numpy(dtype=np.int64)
+    known = spark.sparkContext.broadcast(Filter(filled.view(np.uint64), bits))
+
+    src = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row")).filter("length(_text) > 0")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            a, b = [], []
-            for key, t in zip(pdf["_doc"], pdf["_text"]):
-                if t:
-                    if len(vocabulary) > 500_000:
-                        vocabulary.clear()
-                    for i in sorted(known.search(_hashed(words_of(t), vocabulary))):
-                        a.append(key)
-                        b.append(i)
-            yield pd.DataFrame({doc: a, item: b}, dtype=object)
-
-    src = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
-    return src.mapInPandas(find, T.StructType([T.StructField(doc, src.schema["_doc"].dataType), T.StructField(item, items.schema[item].dataType)]))
+            got = domains(pdf["_text"].tolist(), known.value)
+            at = [t for t, _, _ in got]
+            if at:
+                yield pd.DataFrame({"_doc": pdf["_doc"].iloc[at].to_numpy(), "_row": pdf["_row"].iloc[at].to_numpy(), "keys": [k for _, k, _ in got], "around": [w for _, _, w in got]})
+
+    kind = T.StructField("_doc", src.schema["_doc"].dataType)
+    some = src.mapInPandas(search, T.StructType([kind, T.StructField("_row", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("around", T.BinaryType())]))
+    some = materialize(some.withColumn("_at", F.monotonically_increasing_id()), "domains")
+    keyed = some.select("_at", F.explode("keys").alias("key")).withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(SALTS)).cast("int"))
+    used = index.join(keyed.select("key").distinct(), "key", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = keyed.join(used, ["key", "_salt"]).select("_at", "th", "part").distinct()
+    # parts are salted like the documents, as one stretch may be in many of them
+    salted = parts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tried = pairs.join(some.drop("keys"), "_at").withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(SALTS)).cast("int")).join(salted, ["th", "part", "_salt"]).select("_doc", "_row", "th", "words", "around")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [verified(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)) for a, b in zip(pdf["words"], pdf["around"])]
+            keep = [i for i, g in enumerate(got) if g]
+            held = [np.array(sorted(got[i]), dtype=np.uint64).view(np.int64) for i in keep]
+            if keep:
+                yield pd.DataFrame({"_doc": pdf["_doc"].iloc[keep].to_numpy(), "_row": pdf["_row"].iloc[keep].to_numpy(), "th": pdf["th"].iloc[keep].to_numpy(), "held": held})
+
+    hits = tried.mapInPandas(verify, T.StructType([kind, T.StructField("_row", T.LongType()), T.StructField("th", T.LongType()), T.StructField("held", T.ArrayType(T.LongType()))]))
+    found = hits.groupBy("_row", "th").agg(F.first("_doc").alias("_doc"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("shared"))
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"th": pdf["th"], "held": [np.unique(shingles(np.frombuffer(w, dtype=np.uint64))).view(np.int64) for w in pdf["words"]]})
+
+    sizes = parts.mapInPandas(total, "th bigint, held array<bigint>").groupBy("th").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("_all"))
+    whole = named.select(F.col("i").alias(item), "th").join(sizes, "th")
+    return found.join(whole, "th").select(F.col("_doc").alias(doc), item, "shared", (F.col("shared") / F.col("_all")).alias("containment"))

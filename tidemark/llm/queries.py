@@ -43,10 +43,15 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of test items, with the containment of the items in them."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 def p8_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
 
@@ -59,7 +64,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_report(p8_judged(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_pieces, p4_found, p4_neighbours, p6_containers, p7_found, p8_found, p8_judged, p8_sources)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_pieces, p4_found, p4_neighbours, p6_containers, p7_found, p7_leaks, p8_found, p8_judged, p8_sources)}
 _VALUES = """
   SELECT 'memory_bank' AS src, coalesce(cast(action AS varchar), '(null)') AS grp, cast(mc_return AS double) AS v FROM memory_bank
    WHERE mc_return IS NOT NULL AND isfinite(mc_return)
