@@ -75,3 +75,21 @@ def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "a <|endoftext|> b")], "id bigint, t string")
     got = {r["id"]: r["n_tokens"] for r in count_tokens(df, "id", "t").collect()}
     assert got[2] == got[3] == 0 and got[4] > 3 and got[1] > 30_000
+
+
+def test_one_length_for_half_the_texts_is_many_groups(spark):
+    from pyspark.sql import functions as F
+
+    n = 40_000
+    df = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, 300).otherwise(1 + F.col("id") % 700).cast("bigint").alias("n"))
+    out = pack(df, "k", "n")
+    plan = out._jdf.queryExecution().toString()
+    assert "_rb" in plan
+    rows = out.collect()
+    assert len(rows) == n and len({r["k"] for r in rows}) == n
+    used = {}
+    for r in rows:
+        used.setdefault(r["container"], []).append((r["start"], r["start"] + r["token_to"] - r["token_from"]))
+    for spans in used.values():
+        spans.sort()
+        assert spans[-1][1] <= 2048 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))

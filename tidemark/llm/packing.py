@@ -5,7 +5,7 @@ first, places all texts of a length at once, so the driver handles at most ``cap
 lengths and a few patterns for each, whatever the number of texts. A pattern is a
 list of lengths and the number of containers filled that way. Texts then take the
 planned slots by their rank within their length. Ranks are made per (length, salt) with
-offsets, so a length that a third of the texts have is no single task.
+offsets, and texts meet slots by (length, rank block), so a length that a third of the texts have is no single task.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from tidemark.storage import materialize
 
 CAPACITY = 2048
+RANKS = 64  # ranks of a length that are joined to their slots at once
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -146,7 +147,8 @@ def pack(df: DataFrame, key: str, n_tokens: str, capacity: int = CAPACITY, salts
     inside = F.row_number().over(Window.partitionBy("_len", "_salt").orderBy(key, "piece"))
     placed = pieces.filter("_len > 0").withColumn("_in", inside).join(offsets, ["_len", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in") - 1)
     planned = spark.createDataFrame(slots or [(0, 0, 0, 0, 1, 0)], schema)
-    found = placed.join(planned, "_len").filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto"))).withColumn("_k", F.col("_rank") - F.col("_from"))
+    planned = planned.withColumn("_rb", F.explode(F.expr(f"sequence(_from div {RANKS}, greatest(_from, _upto - 1) div {RANKS})")))
+    found = placed.withColumn("_rb", F.expr(f"_rank div {RANKS}")).join(planned, ["_len", "_rb"]).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto"))).withColumn("_k", F.col("_rank") - F.col("_from"))
     container = F.col("_first") + F.expr("_k div _each")
     start = F.col("_offset") + F.expr("_k % _each") * F.col("_len")
     out = found.select(key, "piece", container.alias("container"), start.alias("start"), "token_from", "token_to")
