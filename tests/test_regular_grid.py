@@ -65,3 +65,20 @@ def test_long_gap_and_edges(spark):
     assert {k[0] for k in got} == {"a", "c", "g"} and got["c", 0][2] is False
     assert ("g", -2000) in got
     assert grid(spark, []) == {}
+
+
+def test_blocks_agree_where_the_noise_is_estimated(spark):
+    rng = np.random.default_rng(5)
+    t = np.unique(np.cumsum(rng.exponential(60_000, 6000)).astype(int))
+    y = np.cumsum(rng.normal(size=len(t)) * np.where(np.arange(len(t)) < len(t) // 2, 1.0, 8.0))  # two halves that differ
+    rows = [("a", int(a), float(b), 60_000, "x") for a, b in zip(t, y)]
+    whole, cut = grid(spark, rows, rows=100_000), grid(spark, rows, rows=1024, margin=512)
+    assert whole.keys() == cut.keys()
+    assert max(abs(whole[k][1] / cut[k][1] - 1) for k in whole) < 1e-3
+    assert max(abs(whole[k][0] - cut[k][0]) for k in whole) < 1e-3 * np.abs(y).max()
+
+
+def test_a_long_gap_is_cut_into_ranges(spark):
+    rows = [("a", 0, 1.0, 1000, "x"), ("a", 3_000, 2.0, 1000, "x"), ("a", 1_000_000, 4.0, 1000, "x"), ("a", 1_001_000, 4.0, 1000, "x")]
+    one, many = grid(spark, rows), grid(spark, rows, slots=100)
+    assert one == many and len(one) == 1002 and sum(m for _, _, m in one.values()) == 998

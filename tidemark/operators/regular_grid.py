@@ -8,20 +8,25 @@ period has a reading of its own.
 Readings are ranked and cut into blocks with margins of readings (see ``plans.blocks``):
 a slope forgets over about ``SLOPE_SHARE ** -0.5`` = 32 periods, so what lies more than a margin of
 512 readings away has no weight left in the smoother and blocks give the values of the whole series, and a hot source is many tasks. Margins
-count readings, not time, so both ends of a long gap are always at hand.
+count readings, not time, so both ends of a long gap are always at hand. The variances are estimated once per source, from mergeable
+sketches of its moves, so the standard deviations don't depend on the blocks either. A block whose readings span more than
+``SLOTS`` periods (a gap of years at one-minute steps) is evaluated by several tasks, each for a range of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.blocks import ranked, with_margins
+from tidemark.storage import materialize
 
 #: Variances by which slope and reading are disturbed, as shares of the level's, a period.
 SLOPE_SHARE, READING_SHARE = 1e-3, 0.05
+SLOTS = 262_144  # periods that a task emits for a block
+ACCURACY = 10_000  # quantiles of moves are off by at most a ten-thousandth in rank
 
 
 def _noise(d: np.ndarray, dt: np.ndarray, scale: float) -> float:
@@ -111,33 +116,47 @@ def smooth(t: np.ndarray, y: np.ndarray, at: np.ndarray, noise: tuple[float, flo
     return value, np.sqrt(np.maximum(var, 0.0))
 
 
-def _block(rows: int, noise):
+def _block(rows: int, slots_a_task: int):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        blk, step = int(pdf["_blk"].iloc[0]), int(pdf["step_ms"].iloc[0])
+        blk, step, part = int(pdf["_blk"].iloc[0]), int(pdf["step_ms"].iloc[0]), int(pdf["_part"].iloc[0])
         pdf = pdf.sort_values("_rank")
-        ms, y, own = pdf["utc_ms"].to_numpy(), pdf["value"].to_numpy(dtype=float), (pdf["_rank"] // rows == blk).to_numpy()
-        slots = ms // step
-        mine, later = np.flatnonzero(own), np.flatnonzero((pdf["_rank"] // rows > blk).to_numpy())
-        if not len(mine):  # only the margin of the source's last block
-            return pd.DataFrame({"series": [], "slot_ms": [], "value": [], "sd": [], "is_missing": []}, dtype=object)
-        stop = slots[later[0]] if len(later) else slots[mine[-1]] + 1
-        grid = np.arange(slots[mine[0]], stop)
+        ms, y = pdf["utc_ms"].to_numpy(), pdf["value"].to_numpy(dtype=float)
+        noise = tuple(float(pdf[c].iloc[0]) for c in ("_ql", "_qs", "_r"))
+        start, stop = int(pdf["_start"].iloc[0]), int(pdf["_stop"].iloc[0])
+        grid = np.arange(start + part * slots_a_task, min(stop, start + (part + 1) * slots_a_task))
         value, sd = smooth((ms - ms[0]) / step, y, (grid * step - ms[0]) / step, noise)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "slot_ms": grid * step, "value": value, "sd": sd, "is_missing": ~np.isin(grid, slots)})
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "slot_ms": grid * step, "value": value, "sd": sd, "is_missing": ~np.isin(grid, ms // step)})
 
     return block
 
 
-def regular_grid(df: DataFrame, source: str, utc_ms: str, value: str, step_ms: str, rows: int = 4096, margin: int = 512, noise: tuple[float, float, float] | None = None) -> DataFrame:
+def regular_grid(df: DataFrame, source: str, utc_ms: str, value: str, step_ms: str, rows: int = 4096, margin: int = 512, noise: tuple[float, float, float] | None = None, slots: int = SLOTS) -> DataFrame:
     """One row per source and period from its first reading's to its last: ``series, slot_ms, value, sd, is_missing``.
 
     Periods last ``step_ms`` and start at multiples of it. Rows with a null source, moment or step, or
     a null or NaN value, are no readings; readings of one moment are averaged; infinite ones mark their
-    period as read but don't move the value (null where a block has no finite one). A source with one
+    period as read but don't move the value (null where a block has no finite one); ``noise`` fixes the variances of level, slope and reading. A source with one
     reading gives one period. An empty table gives an empty result; other columns are ignored.
     """
     base = df.select(F.col(source).cast("string").alias("series"), F.col(utc_ms).cast("bigint").alias("utc_ms"), F.col(value).cast("double").alias("value"), F.col(step_ms).cast("bigint").alias("step_ms"))
     base = base.filter("series is not null and utc_ms is not null and value is not null and not isnan(value) and step_ms > 0")
     readings = base.groupBy("series", "step_ms", "utc_ms").agg(F.avg("value").alias("value")).withColumn("_b", F.expr("floor(utc_ms / step_ms) div 512"))
-    blocks = with_margins(ranked(readings, "series", "utc_ms", "_b"), "_rank", rows, margin)
-    return blocks.groupBy("series", "_blk").applyInPandas(_block(rows, noise), "series string, slot_ms bigint, value double, sd double, is_missing boolean")
+    blocks = with_margins(ranked(readings, "series", "utc_ms", "_b"), "_rank", rows, margin).drop("_b")
+    by = Window.partitionBy("series", "_blk").orderBy("_rank")
+    dt = (F.col("utc_ms") - F.lag("utc_ms").over(by)) / F.col("step_ms")
+    move = F.abs(F.col("value") - F.lag("value").over(by)) / F.sqrt(dt)
+    blocks = materialize(blocks.withColumn("_own", F.expr(f"_rank div {rows} = _blk")).withColumn("_move", F.when(F.abs(move) < float("inf"), move)), "readings")
+    # where each block's periods begin and end: at its first reading, and at that of the next block
+    slot = F.expr("floor(utc_ms / step_ms)")
+    spans = blocks.groupBy("series", "_blk").agg(F.min(F.when(F.col("_own"), slot)).alias("_start"), F.coalesce(F.min(F.when(F.expr(f"_rank div {rows} > _blk"), slot)), F.max(F.when(F.col("_own"), slot)) + 1).alias("_stop")).filter("_start is not null")
+    if noise is None:
+        sketch = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(ACCURACY))
+        own = F.when(F.col("_own"), F.col("_move"))
+        size = F.when(F.col("_own") & (F.abs("value") < float("inf")), F.abs("value"))
+        moves = blocks.groupBy("series").agg(sketch(own, 0.5).alias("_m"), sketch(own, 0.9).alias("_q"), sketch(size, 0.5).alias("_a"))
+        spread = F.greatest(1.4826 * F.coalesce("_m", F.lit(0.0)), F.coalesce("_q", F.lit(0.0)) / 1.645, 1e-9 * F.greatest(F.coalesce("_a", F.lit(0.0)), F.lit(1e-12)))
+        variances = moves.select("series", (spread * spread).alias("_ql")).withColumn("_qs", SLOPE_SHARE * F.col("_ql")).withColumn("_r", READING_SHARE * F.col("_ql"))
+    else:
+        variances = spans.select("series").distinct().select("series", *[F.lit(float(v)).alias(c) for c, v in zip(("_ql", "_qs", "_r"), noise)])
+    tasks = spans.join(variances, "series").withColumn("_part", F.explode(F.expr(f"sequence(0, cast((_stop - _start - 1) div {slots} as int))")))
+    return blocks.drop("_own", "_move").join(tasks, ["series", "_blk"]).groupBy("series", "_blk", "_part").applyInPandas(_block(rows, slots), "series string, slot_ms bigint, value double, sd double, is_missing boolean")
