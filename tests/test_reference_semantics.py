@@ -20,6 +20,15 @@ def test_discounted_returns(spark):
     assert got == pytest.approx([2.8818, 1.94, 2.0])
 
 
+def test_discounted_returns_without_discount_and_with_gaps(spark):
+    from dataclasses import replace
+
+    df = spark.createDataFrame([(1, i, 1.0) for i in (0, 1, 5, 900, 901)], "e bigint, i bigint, r double")
+    assert [x["g"] for x in R.discounted_returns(df, "e", "i", "r", "g", replace(DEFAULT, gamma=1.0), rows=4).orderBy("i").collect()] == [5, 4, 3, 2, 1]
+    got = [x["g"] for x in R.discounted_returns(df, "e", "i", "r", "g", rows=4).orderBy("i").collect()]
+    assert got == pytest.approx([sum(0.97 ** (j - i) for j in (0, 1, 5, 900, 901) if j >= i) for i in (0, 1, 5, 900, 901)])
+
+
 def test_discounted_returns_of_long_episodes(spark):
     n = 40_000
     r = np.random.default_rng(0).normal(size=n)
@@ -68,6 +77,25 @@ def test_temporal_exclusion(spark):
     only = b.filter("episode_id = 7 and row_id between 201 and 399")
     assert K.knn(spark.createDataFrame([(5000, 7, 300, 0, 0.0, [300.0])], BANK), only, min_tick_gap=100).count() == 3  # none left: all count
     assert K.knn(b, b.limit(0)).count() == 0
+    n = lambda q, gap=100: {r["qid"]: r["excluded"] for r in K.excluded_counts(q, b, gap).collect()}
+    q = spark.createDataFrame([(5000, 7, 300, 0, 0.0, [300.0]), (5001, None, 300, 0, 0.0, [1.0]), (5002, 9, 300, 0, 0.0, [1.0]), (5003, 7, -300, 0, 0.0, [1.0])], BANK)
+    assert n(q) == {5000: 3, 5001: 0, 5002: 0, 5003: 0} and set(n(q, 0).values()) == {0}
+    assert {r["excluded"] for r in K.excluded_counts(q.limit(1), only, 100).collect()} == {0}
+
+
+def test_queries_from_the_bank_itself(spark):
+    b = spark.createDataFrame([(i, 0, i, i % 4, float(i), [float(i), 0.0]) for i in range(12)] + [(50, 0, 1, 0, 1.0, [float("inf"), 0.0])], BANK)
+    got = {(r["qid"], r["rank"]): (r["bid"], r["dist"]) for r in K.knn(b.filter("row_id % 3 = 0"), b, k=2).collect()}
+    assert len(got) == 8 and all(got[i, 1] == (i, 0.0) for i in (0, 3, 6, 9)) and got[9, 2] == (8, 1.0)
+    assert K.knn(b, b, k=1, self_excluded=True).count() == 12
+
+
+def test_an_empty_bank_holds(spark):
+    b = bank(spark, [0, 1], [0, 0], [1, -2])
+    for mask in (None, F.array(F.lit(True), F.lit(True), F.lit(False), F.lit(False))):
+        got = K.decide(b, b.limit(0), mask).collect()
+        assert [(r["action"], r["shares"], r["margin"], r["vote"]) for r in got] == [(3, [0.0, 0.0, 0.0, 1.0], 0.0, [0.0] * 4)] * 2
+    assert {r["action"] for r in K.decide(b, b, k=1).collect()} == {0, 1}
 
 
 def test_positions():
@@ -157,22 +185,26 @@ def test_bank_round_trip(spark, tmp_path):
     b = spark.createDataFrame([(1, 0, 5, 3, 1.0, [0.0])], BANK)
     R.save_bank(b, str(tmp_path / "b"), {"k": 25})
     rows, conf = R.load_bank(spark, str(tmp_path / "b"))
-    assert rows.collect() == b.collect() and conf["k"] == 25 and conf["eps_dist"] == 1e-3
+    assert rows.collect() == b.collect() and conf["k"] == 25 and conf["eps_dist"] == 1e-3 and conf["n_prunes"] is None
     none, conf = R.load_bank(spark, str(tmp_path / "nothing"))
     assert none.count() == 0 and conf["max_weight_ratio"] == 50.0
     b.drop("tick", "episode_id").write.parquet(str(tmp_path / "old/rows"))
     spark.createDataFrame([(25,)], "k bigint").write.parquet(str(tmp_path / "old/config"))
-    old, _ = R.load_bank(spark, str(tmp_path / "old"))
+    old, conf = R.load_bank(spark, str(tmp_path / "old"))
+    assert conf == {"k": 25, "eps_dist": 1e-3, "max_weight_ratio": 50.0, "min_tick_gap": 0, "next_episode_id": 0}
     assert (old.first()["tick"], old.first()["episode_id"]) == (0, -1)
 
 
 def test_selection():
-    s = Z.Selection()
-    s, do = s.update(0.1, 0.5, 0)
-    assert do == "save"
-    s, do = s.update(0.102, 0.5, 3)
-    assert do == "go_on"
-    assert s.update(0.0, 0.5, 4)[1] == "early_stop" and s.update(0.0, 0.01, 4)[1] == "stop"
+    up = lambda s, epoch, gain, short=0.5, long=0.3, vshort=0.3, bear=0.0: s.update(epoch, short, gain, long, vshort, bear)
+    s, save, stop = up(Z.Selection(), 1, -0.5)
+    assert save and not stop and s.best == -0.5  # anything beats nothing
+    s2, save, stop = up(s, 1, -0.497)
+    assert not save and not stop and s2.stale == 1  # less than the least improvement; warm-up goes on
+    assert up(s, 2, -0.497)[2]  # the first epoch after warm-up with nothing better stops
+    assert not up(s, 2, 0.1)[2] and up(s, 2, 0.1)[1]
+    assert not up(s, 1, 0.5, vshort=0.02)[1] and not up(s, 1, 0.5, long=0.02)[1] and not up(s, 1, 0.5, bear=-0.10)[1] and up(s, 1, 0.5, bear=-0.09)[1]
+    assert up(s, 3, 0.5, short=0.02) == (s, False, True) and not up(s, 2, 0.5, short=0.02)[2]
 
 
 def test_empty_tables(spark):

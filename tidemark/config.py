@@ -37,12 +37,13 @@ class EngineConfig:
     hold_cost: float = 0.000005
     epsilon_start: float = 0.10
     epsilon_end: float = 0.01
-    epsilon_decay: float = 0.8913
+    epsilon_decay: float = (0.01 / 0.10) ** (1 / 20)
     epochs: int = 100
     patience: int = 1
     warmup_epochs: int = 2
     min_improve: float = 0.005
     min_short_share: float = 0.03
+    bear_floor: float = -0.10
     val_years: tuple = (2022, 2025)
     bear_year: int = 2022
     bull_years: tuple = (2020, 2021, 2024)

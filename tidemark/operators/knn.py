@@ -22,7 +22,7 @@ _FOUND = "qid bigint, bid bigint, dist double, excluded boolean"
 
 
 def sound_states(df: DataFrame, state: str = "state") -> DataFrame:
-    return df.filter(f"{state} is not null and size({state}) > 0 and not exists({state}, x -> x is null or isnan(x))")
+    return df.filter(f"{state} is not null and size({state}) > 0 and not exists({state}, x -> x is null or isnan(x) or abs(x) = float('infinity'))")
 
 
 def _search(k: int, gap: int, self_excluded: bool):
@@ -30,21 +30,21 @@ def _search(k: int, gap: int, self_excluded: bool):
         none = pd.DataFrame({"qid": [], "bid": [], "dist": [], "excluded": []}, dtype=object)
         if not len(bank) or not len(queries):
             return none
-        x, bid = np.stack(bank["state"].to_numpy()).astype(np.float64), bank["bid"].to_numpy()
+        x, bid = np.stack(bank["b_state"].to_numpy()).astype(np.float64), bank["bid"].to_numpy()
         order = np.argsort(bid)
-        x, bid, bep, btick = x[order], bid[order], bank["ep"].to_numpy(dtype=float)[order], bank["tick"].to_numpy(dtype=float)[order]
+        x, bid, bep, btick = x[order], bid[order], bank["b_ep"].to_numpy(dtype=float)[order], bank["b_tick"].to_numpy(dtype=float)[order]
         norm = (x**2).sum(1)
         parts = []
         for lo in range(0, len(queries), 256):
             q = queries.iloc[lo : lo + 256]
-            y, qid = np.stack(q["state"].to_numpy()).astype(np.float64), q["qid"].to_numpy()
+            y, qid = np.stack(q["q_state"].to_numpy()).astype(np.float64), q["qid"].to_numpy()
             d2 = norm[None, :] - 2 * (y @ x.T)
             slack = 1e-9 * (norm.max() + (y**2).sum(1))
             if self_excluded:
                 d2[qid[:, None] == bid[None, :]] = np.inf
             away = np.zeros(d2.shape, dtype=bool)
             if gap > 0:
-                ep, tick = q["ep"].to_numpy(dtype=float), q["tick"].to_numpy(dtype=float)
+                ep, tick = q["q_ep"].to_numpy(dtype=float), q["q_tick"].to_numpy(dtype=float)
                 away = (ep[:, None] == bep[None, :]) & (np.abs(tick[:, None] - btick[None, :]) < gap)
             for flag in (False, True) if gap > 0 else (False,):
                 d = np.where(away == flag, d2, np.inf)
@@ -65,16 +65,17 @@ def knn(queries: DataFrame, bank: DataFrame, k: int = DEFAULT.k, min_tick_gap: i
 
     Both sides have row_id, episode_id, tick and state. With a gap, rows of the query's episode nearer in
     ticks than the gap are left out (never where a tick or episode is null), unless that leaves none: then
-    the whole bank counts. Rows with a null state, or a null or NaN in it, take no part; all states have one length.
+    the whole bank counts. Rows with a null state, or a null, NaN or infinite value in it, take no part; all states have one length.
+    Queries and bank may come from one table.
     """
-    side = lambda df, name: sound_states(df).select(F.col("row_id").cast("bigint").alias(name), F.col("episode_id").alias("ep"), "tick", "state")
-    b, q = side(bank, "bid"), side(queries, "qid")
+    side = lambda df, name, p: sound_states(df).select(F.col("row_id").cast("bigint").alias(name), *[F.col(c).alias(f"{p}_{a}") for c, a in (("episode_id", "ep"), ("tick", "tick"), ("state", "state"))])
+    b, q = side(bank, "bid", "b"), side(queries, "qid", "q")
     nb, nq = (F.expr(f"greatest(1L, cast(ceil(n / {size}) as bigint))") for size in (BANK_BLOCK, QUERY_BLOCK))
     blocks = b.agg(F.count("*").alias("n")).select(nb.alias("nb")).crossJoin(q.agg(F.count("*").alias("n")).select(nq.alias("nq")))  # one row
     n = blocks.first()
-    left = b.withColumn("_b", F.pmod(F.xxhash64("bid"), F.lit(n["nb"]))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n["nq"] - 1))))
-    right = q.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(n["nq"]))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n["nb"] - 1))))
-    found = left.groupBy("_b", "_q").cogroup(right.groupBy("_b", "_q")).applyInPandas(_search(k, min_tick_gap, self_excluded), _FOUND)
+    left = b.withColumn("_bb", F.pmod(F.xxhash64("bid"), F.lit(n["nb"]))).withColumn("_bq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n["nq"] - 1))))
+    right = q.withColumn("_qq", F.pmod(F.xxhash64("qid"), F.lit(n["nq"]))).withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n["nb"] - 1))))
+    found = left.groupBy("_bb", "_bq").cogroup(right.groupBy("_qb", "_qq")).applyInPandas(_search(k, min_tick_gap, self_excluded), _FOUND)
     if min_tick_gap > 0:
         valid = F.max((~F.col("excluded")).cast("int")).over(Window.partitionBy("qid"))
         found = found.withColumn("_valid", valid).filter("not excluded or _valid = 0")
@@ -111,6 +112,32 @@ def votes(weighted: DataFrame, mask: Column | None = None, cfg: EngineConfig = D
     return per.select("qid", argmax_first(F.col("_v")).alias("action"), "vote", shares.alias("shares"), top2_margin(F.filter("_v", lambda v: v.isNotNull())).alias("margin"), "ret_mean", "ret_std")
 
 
+def excluded_counts(queries: DataFrame, bank: DataFrame, min_tick_gap: int) -> DataFrame:
+    """``qid, excluded``: how many bank rows the temporal exclusion leaves out for each query; 0 where it would leave none.
+
+    The bank is counted per episode and tick first, so many rows of one tick (as legacy rows are) are one row of the join.
+    """
+    gap = F.lit(int(min_tick_gap)).cast("bigint")
+    b = sound_states(bank).groupBy(F.col("episode_id").alias("b_ep"), F.col("tick").alias("b_tick")).agg(F.count("*").alias("n"))
+    q = sound_states(queries).select(F.col("row_id").alias("qid"), F.col("episode_id").alias("q_ep"), F.col("tick").alias("q_tick"))
+    if min_tick_gap <= 0:
+        return q.select("qid", F.lit(0).cast("bigint").alias("excluded"))
+    at = q.withColumn("_g", F.explode(F.array(*[F.floor(F.col("q_tick") / gap) + i for i in (-1, 0, 1)])))
+    near = at.join(b.withColumn("_h", F.floor(F.col("b_tick") / gap)), (F.col("q_ep") == F.col("b_ep")) & (F.col("_g") == F.col("_h")) & (F.abs(F.col("q_tick") - F.col("b_tick")) < gap))
+    n = near.groupBy("qid").agg(F.sum("n").alias("_n"))
+    total = b.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all"))
+    return q.join(n, "qid", "left").crossJoin(total).select("qid", F.when(F.col("_n") < F.col("_all"), F.col("_n")).otherwise(F.lit(0)).cast("bigint").alias("excluded"))  # one row
+
+
+def decide(queries: DataFrame, bank: DataFrame, mask: Column | None = None, k: int | None = None, min_tick_gap: int = 0, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``votes`` of every query with a sound state; where the bank holds no row, HOLD with shares [0, 0, 0, 1] and margin 0, whatever the mask."""
+    found = votes(neighbour_weights(knn(queries, bank, k or cfg.k, min_tick_gap), bank, cfg), mask, cfg)
+    zeros = F.array(*[F.lit(0.0)] * cfg.actions)
+    none = {"action": F.lit(cfg.actions - 1), "vote": zeros, "shares": F.array(*[F.lit(float(a == cfg.actions - 1)) for a in range(cfg.actions)])}
+    q = sound_states(queries).select(F.col("row_id").cast("bigint").alias("qid"))
+    return q.join(found, "qid", "left").select("qid", *[F.coalesce(F.col(c), none.get(c, F.lit(0.0))).alias(c) for c in ("action", "vote", "shares", "margin", "ret_mean", "ret_std")])
+
+
 def distance_report(near: DataFrame, duplicate: float = 0.05) -> DataFrame:
     """Integrity of a bank: median distance of the first and tenth neighbour, of all ten, and the share of near copies."""
     d = lambda r: F.percentile(F.when(F.col("rank") == r, F.col("dist")), F.lit(0.5))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from tidemark.config import DEFAULT, EngineConfig
 def discounted_returns(df: DataFrame, episode: str, rank: str, reward: str, out: str = "mc_return", cfg: EngineConfig = DEFAULT, rows: int = 512) -> DataFrame:
     """``G_t = r_t + gamma G_{t+1}`` over the ranks of an episode.
 
-    Exact for any length: inside blocks of ``rows`` ranks the closed form can't underflow; a block's
-    value at its start is carried back over the episode's blocks, one number a block.
+    Exact for any length: inside blocks of ``rows`` ranks the closed form can't underflow; the sum of each
+    later block that still counts is carried back, so work grows with the blocks.
     """
     g = cfg.gamma
     b = df.withColumn("_gb", F.expr(f"{rank} div {rows}")).withColumn("_gi", F.col(rank) % rows)
@@ -21,21 +23,20 @@ def discounted_returns(df: DataFrame, episode: str, rank: str, reward: str, out:
     power = F.pow(F.lit(g), F.col("_gi"))
     b = b.withColumn("_own", F.sum(power * F.col(reward)).over(after) / power)
     starts = b.groupBy(episode, "_gb").agg(F.sum(power * F.col(reward)).alias("_s"))
-    # G at the start of block b is the sum over later blocks of gamma^(rows (c - b)) s_c: a fold over the blocks of an episode
-    folded = starts.groupBy(episode).agg(F.sort_array(F.collect_list(F.struct("_gb", "_s")), asc=False).alias("_x"))
-    step = F.aggregate("_x", F.expr("named_struct('b', -1L, 'g', 0D, 'out', cast(array() as array<struct<b:bigint,next:double>>))"),
-                       lambda a, x: F.struct(x["_gb"].alias("b"), (x["_s"] + _carry(a, x, g, rows)).alias("g"), F.concat(a["out"], F.array(F.struct(x["_gb"].alias("b"), _carry(a, x, g, rows, True).alias("next")))).alias("out")))
-    carried = folded.select(episode, F.explode(step["out"]).alias("c")).select(episode, F.col("c.b").alias("_gb"), F.col("c.next").alias("_next"))
+    # G at the start of the next block, from the sums of later blocks; with a discount, those so far that it is below any double don't count
+    whole = Window.partitionBy(episode).orderBy("_gb")
+    if g >= 1:
+        later = F.coalesce(F.sum("_s").over(whole.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+        carried = starts.select(episode, "_gb", later.alias("_next"))
+    else:
+        reach = max(1, math.ceil(745 / (rows * -math.log(g)))) if g > 0 else 1
+        near = F.collect_list(F.struct("_gb", "_s")).over(whole.rangeBetween(1, reach))
+        term = lambda a, x: a + x["_s"] * F.pow(F.lit(g), ((x["_gb"] - F.col("_gb") - 1) * rows).cast("double"))
+        carried = starts.withColumn("_near", near).select(episode, "_gb", F.aggregate("_near", F.lit(0.0), term).alias("_next"))
     joined = b.join(carried, [episode, "_gb"])
     return joined.withColumn(out, F.col("_own") + F.pow(F.lit(g), F.lit(rows) - F.col("_gi")) * F.col("_next")).drop("_gb", "_gi", "_own", "_next")
 
 
-def _carry(a, x, g: float, rows: int, bare: bool = False):
-    """Return at the start of the next block, as seen from the end of this one (blocks without rows discount only)."""
-    gap = F.when(a["b"] < 0, F.lit(0.0)).otherwise(a["g"] * F.pow(F.lit(g), (a["b"] - x["_gb"] - 1) * rows))
-    return gap if bare else gap * F.pow(F.lit(g), F.lit(rows))
-
-
 def append(bank: DataFrame, rows: DataFrame) -> DataFrame:
     """Bag union by name; nothing is removed."""
     return bank.unionByName(rows, allowMissingColumns=True)
@@ -81,4 +82,4 @@ def load_bank(spark, path: str) -> tuple[DataFrame, dict]:
     cols = [F.col(f.name).cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType) for f in schemas.BANK]
     rows = raw.select(*[c.alias(f.name) for c, f in zip(cols, schemas.BANK)]).withColumn("tick", F.coalesce("tick", F.lit(0).cast("bigint"))).withColumn("episode_id", F.coalesce("episode_id", F.lit(-1).cast("bigint")))
     conf = spark.read.parquet(f"{path}/config").first().asDict()
-    return rows, {k: (defaults.get(k) if v is None else v) for k, v in conf.items()}
+    return rows, defaults | {k: v for k, v in conf.items() if v is not None or k not in defaults}

@@ -72,36 +72,82 @@ def advance(p: Position, tick: int, price: float, volatility: float, market: np.
     return after, {"action": int(action), "pnl": float(pnl), "side": after.side, "entry": after.entry if after.side else None, "entry_tick": after.entry_tick if after.side else None, "unrealised": open_gain, "shares": [float(x) for x in shares]}
 
 
-def bank_policy(states: np.ndarray, actions: np.ndarray, returns: np.ndarray, k: int = DEFAULT.k, cfg: EngineConfig = DEFAULT) -> Policy:
+@dataclass(frozen=True)
+class Look:
+    """What the bank says of a state, without a mask: signed votes, margin of the best two, mean and spread of the neighbours' returns."""
+
+    vote: np.ndarray
+    margin: float = 0.0
+    ret_mean: float = 0.0
+    ret_std: float = 0.0
+
+
+class BankPolicy:
     """Vote of the k nearest rows, by distance, then position, of a bank of bounded size (``bank_cap``); an empty bank holds.
 
-    Rows without a finite return or with an action below 0 are neighbours that don't vote.
+    Rows without a finite return or with an action below 0 are neighbours that don't vote. With a gap, rows of the
+    episode nearer in ticks are left out, unless that leaves none. ``ahead`` takes the market parts of the next states, whose
+    distances are then made in one product; only the portfolio's two dimensions remain for each tick.
     """
-    if len(states) > cfg.bank_cap:
-        raise ValueError(f"a bank in a fold holds at most {cfg.bank_cap} rows; prune it first")
-    states, valid = states.astype(np.float64), np.isfinite(returns) & (actions >= 0)
-    voted, weight = np.where(valid, actions, 0).astype(np.int64), np.where(valid, returns, 0.0)
-    norm = (states**2).sum(1)
-
-    def policy(state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
-        if not len(states):
-            return HOLD, np.eye(4)[HOLD]
+
+    def __init__(self, states: np.ndarray, actions: np.ndarray, returns: np.ndarray, k: int = DEFAULT.k, cfg: EngineConfig = DEFAULT, episodes: np.ndarray | None = None, ticks: np.ndarray | None = None):
+        if len(states) > cfg.bank_cap:
+            raise ValueError(f"a bank in a fold holds at most {cfg.bank_cap} rows; prune it first")
+        valid = np.isfinite(returns) & (actions >= 0)
+        self.states, self.k, self.cfg = states.astype(np.float64), k, cfg
+        self.voted, self.weight = np.where(valid, actions, 0).astype(np.int64), np.where(valid, returns, 0.0)
+        self.valid, self.norm = valid, (self.states**2).sum(1)
+        self.episodes, self.ticks = episodes, ticks
+        self.market, self.part, self.own = None, None, None
+        self.seen: tuple = (None, None, None)
+
+    @property
+    def chunk(self) -> int:
+        return max(1, 8_000_000 // max(1, len(self.states)))
+
+    def ahead(self, market: np.ndarray) -> None:
+        """The market parts of the next ticks (all dimensions but the last two)."""
+        if self.market is None:
+            self.market, self.own = np.ascontiguousarray(self.states[:, :-2].T.astype(np.float32)), self.states[:, -2:]
+        self.part = (self.norm - (self.own**2).sum(1))[None, :].astype(np.float32) - 2 * (market[:, :-2].astype(np.float32) @ self.market)
+
+    def look(self, state: np.ndarray, i: int | None = None, episode: float | None = None, tick: int = 0) -> Look:
+        if not len(self.states):
+            return Look(np.zeros(4))
         state = state.astype(np.float64)
-        d2 = norm - 2 * (states @ state)
-        n = min(k, len(states))
-        near = np.nonzero(d2 <= np.partition(d2, n - 1)[n - 1] + 1e-9 * (norm.max() + state @ state))[0]  # rounding must not decide ties
-        dist = np.sqrt(((states[near] - state) ** 2).sum(1))
+        if i is not None and self.part is not None:
+            d2 = self.part[i] + ((self.own - state[-2:]) ** 2).sum(1) - state[-2:] @ state[-2:]
+            slack = 2e-6 * (self.norm.max() + state @ state)
+        else:
+            d2, slack = self.norm - 2 * (self.states @ state), 1e-9 * (self.norm.max() + state @ state)
+        if episode is not None and self.cfg.min_tick_gap > 0 and self.episodes is not None:
+            away = (self.episodes == episode) & (np.abs(self.ticks - tick) < self.cfg.min_tick_gap)
+            if away.any() and not away.all():
+                d2 = np.where(away, np.inf, d2)
+        n = min(self.k, int(np.isfinite(d2).sum()))
+        near = np.nonzero(d2 <= np.partition(d2, n - 1)[n - 1] + slack)[0]  # rounding must not decide ties
+        dist = np.sqrt(((self.states[near] - state) ** 2).sum(1))
         first = np.lexsort((near, dist))[:n]
         near, dist = near[first], dist[first]
-        w = 1 / (dist + cfg.eps_dist)
-        w = np.minimum(w, cfg.weight_cap * (np.median(w) + cfg.eps))
-        vote = np.bincount(voted[near], weights=w * weight[near], minlength=4)[:4]
-        masked = np.where(mask, vote, -np.inf)
-        f = np.where(mask, vote, 0.0)
-        s = np.where(mask, f - f.min() + cfg.eps, 0.0)
-        return int(masked.argmax()), s / s.sum() if s.sum() > 0 else np.full(4, 0.25)
+        w = 1 / (dist + self.cfg.eps_dist)
+        w = np.minimum(w, self.cfg.weight_cap * (np.median(w) + self.cfg.eps))
+        vote = np.bincount(self.voted[near], weights=w * self.weight[near], minlength=4)[:4]
+        ret, top = self.weight[near][self.valid[near]], np.sort(vote)
+        return Look(vote, float(top[-1] - top[-2]), *((float(ret.mean()), float(ret.std())) if len(ret) else (0.0, 0.0)))
+
+    def choose(self, look: Look, mask: np.ndarray) -> tuple[int, np.ndarray]:
+        if not len(self.states):
+            return HOLD, np.eye(4)[HOLD]
+        f = np.where(mask, look.vote, 0.0)
+        s = np.where(mask, f - f.min() + self.cfg.eps, 0.0)
+        return int(np.where(mask, look.vote, -np.inf).argmax()), s / s.sum() if s.sum() > 0 else np.full(4, 0.25)
 
-    return policy
+    def __call__(self, state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
+        return self.choose(self.look(state), mask)
+
+
+def bank_policy(states: np.ndarray, actions: np.ndarray, returns: np.ndarray, k: int = DEFAULT.k, cfg: EngineConfig = DEFAULT, **where) -> BankPolicy:
+    return BankPolicy(states, actions, returns, k, cfg, **where)
 
 
 def memory_rows(bank: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -112,42 +158,100 @@ def memory_rows(bank: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return prune(sound_states(bank).filter(F.size("state") == cfg.state_dim), cfg.bank_cap)
 
 
-def memory_policy(bank: DataFrame, k: int = DEFAULT.k, cfg: EngineConfig = DEFAULT) -> Policy:
-    """``bank_policy`` over ``memory_rows`` in order of row_id; what travels to the tasks is bounded by the cap."""
+class Memory:
+    """The bank of a policy as it travels to the tasks, broadcast once; a task builds its policy on first use."""
+
+    def __init__(self, shared, k: int, cfg: EngineConfig):
+        self.shared, self.k, self.cfg, self.made = shared, k, cfg, None
+
+    def __getstate__(self) -> dict:
+        return {"shared": self.shared, "k": self.k, "cfg": self.cfg, "made": None}
+
+    def policy(self) -> BankPolicy:
+        if self.made is None:
+            states, actions, gains, episodes, ticks = self.shared.value
+            self.made = BankPolicy(states, actions, gains, self.k, self.cfg, episodes, ticks)
+        return self.made
+
+    def __call__(self, state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
+        return self.policy()(state, mask)
+
+
+def memory_policy(bank: DataFrame, k: int | None = None, cfg: EngineConfig = DEFAULT) -> Memory:
+    """``BankPolicy`` over ``memory_rows`` in order of row_id; what travels to the tasks is bounded by the cap."""
     rows = memory_rows(bank, cfg)
-    code, gain = F.coalesce(F.col("action").cast("int"), F.lit(-1)).alias("action"), F.coalesce(F.col("mc_return").cast("double"), F.lit(float("nan"))).alias("gain")
-    pdf = rows.select("row_id", code, gain, F.col("state").cast("array<float>").alias("state")).toPandas().sort_values("row_id")
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    pdf = rows.select("row_id", F.coalesce(F.col("action").cast("int"), F.lit(-1)).alias("action"), number("mc_return"), number("episode_id"), number("tick"), F.col("state").cast("array<float>").alias("state")).toPandas().sort_values("row_id")
     states = np.stack(pdf["state"].to_numpy()).astype(np.float32) if len(pdf) else np.zeros((0, cfg.state_dim), np.float32)
-    shared = bank.sparkSession.sparkContext.broadcast((states, pdf["action"].to_numpy(dtype=np.int64), pdf["gain"].to_numpy(dtype=float)))
-    made: list[Policy] = []
+    shared = bank.sparkSession.sparkContext.broadcast((states, pdf["action"].to_numpy(dtype=np.int64), *(pdf[c].to_numpy(dtype=float) for c in ("mc_return", "episode_id", "tick"))))
+    return Memory(shared, k or cfg.k, cfg)
 
-    def policy(state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
-        if not made:  # once a task
-            made.append(bank_policy(*shared.value, k, cfg))
-        return made[0](state, mask)
 
-    return policy
+_OUT = "tick bigint, price double, action int, pnl double, side string, entry double, entry_tick bigint, unrealised double, shares array<double>"
+#: Of a trace with a bank: what it says of each state without a mask, and the state decided on.
+_SEEN = ", vote array<double>, margin double, ret_mean double, ret_std double, state array<float>, reward double"
 
 
-_OUT = "tick bigint, price double, action int, pnl double, side string, entry double, entry_tick bigint, unrealised double, shares array<double>"
+def explore(policy: Callable, epsilon: float, rng: np.random.Generator) -> Callable:
+    """A policy that takes a random allowed action with a chance of ``epsilon``, with the shares of the vote without a mask."""
+
+    def act(state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
+        if epsilon > 0 and rng.random() < epsilon:
+            return int(rng.choice(np.flatnonzero(mask))), policy(state, np.ones(4, dtype=bool))[1]
+        return policy(state, mask)
 
+    return act
 
-def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: EngineConfig = DEFAULT) -> DataFrame:
+
+def shaped(pnl: float, side: str | None, cfg: EngineConfig = DEFAULT) -> float:
+    """Reward of a tick: the gain, a bonus on good ones, a cost while a position is held."""
+    return pnl + (pnl * cfg.bonus if pnl > cfg.bonus_above else 0.0) - (cfg.hold_cost if side is not None and pnl == 0.0 else 0.0)
+
+
+def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: EngineConfig = DEFAULT, epsilon: float = 0.0, seed: int = 0, number: str | None = None) -> DataFrame:
     """Trace of each episode: ``episode, tick, price, action, pnl, side, entry, ...`` from rows with tick, Close, ATR_Scaled and state.
 
-    Rows with a null state or price are skipped. A position open at the end stays open and is never settled.
+    A policy over a bank (``memory_policy``) also gives what the bank says of every state: votes, margin, returns of the neighbours. Rows
+    with a null state or price are skipped. A position open at the end stays open and is never settled. epsilon: chance of a
+    random action, drawn from seed and episode, whatever the partitioning. number: a column with the bank's number of the episode, for its
+    temporal exclusion. Reward is that of the tick's own action.
     """
+    seen = isinstance(policy, Memory)
+    names = [episode, *[c.split()[0] for c in (_OUT + (_SEEN if seen else "")).split(", ")]]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["tick", "Close", "state"]).sort_values("tick")
-        p, out = Position(), []
-        for tick, price, atr, state in zip(pdf["tick"], pdf["Close"], pdf["ATR_Scaled"], pdf["state"]):
-            p, row = advance(p, int(tick), float(price), float(atr), np.asarray(state, dtype=np.float64), policy, cfg)
-            out.append({episode: pdf[episode].iloc[0], "tick": tick, "price": price, **row})
-        return pd.DataFrame(out, columns=[episode, *[c.split()[0] for c in _OUT.split(", ")]]).astype({"entry": float}) if out else pd.DataFrame({c: [] for c in [episode, *[c.split()[0] for c in _OUT.split(", ")]]}, dtype=object)
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in names}, dtype=object)
+        name, p, out = pdf[episode].iloc[0], Position(), []
+        bank = policy.policy() if seen else None
+        rng = np.random.default_rng([seed, *str(name).encode()])
+        market = np.stack(pdf["state"].to_numpy()).astype(np.float64)
+        at: dict = {}
+        mine = float(pdf[number].iloc[0]) if number else None
+
+        def vote(state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
+            at["look"] = at["look"] or bank.look(state, at["i"], mine, at["tick"])
+            return bank.choose(at["look"], mask)
+
+        act = explore(vote if seen else policy, epsilon, rng)
+        size = bank.chunk if seen and len(bank.states) else len(pdf)
+        for i, (tick, price, atr) in enumerate(zip(pdf["tick"].tolist(), pdf["Close"].tolist(), pdf["ATR_Scaled"].tolist())):
+            if seen and len(bank.states) and i % size == 0:
+                bank.ahead(market[i : i + size])
+            at.update(look=None, i=i % size, tick=int(tick))
+            before = p
+            p, row = advance(p, int(tick), float(price), float(atr), market[i], act, cfg)
+            row = {episode: name, "tick": tick, "price": price, **row}
+            if seen:
+                state = np.concatenate([market[i, :-2], [{"LONG": 1.0, "SHORT": -1.0}.get(before.side, 0.0), row["unrealised"]]]).astype(np.float32)
+                look = at["look"] or bank.look(state, i % size, mine, int(tick))
+                row |= {"vote": look.vote.tolist(), "margin": look.margin, "ret_mean": look.ret_mean, "ret_std": look.ret_std, "state": state, "reward": shaped(row["pnl"], p.side, cfg)}
+            out.append(row)
+        return pd.DataFrame(out, columns=names).astype({"entry": float})
 
     kind = dict(states.dtypes)[episode]
-    return states.select(episode, "tick", F.col("Close").cast("double"), F.col("ATR_Scaled").cast("double"), "state").groupBy(episode).applyInPandas(run, f"{episode} {kind}, {_OUT}")
+    return states.select(episode, "tick", F.col("Close").cast("double"), F.col("ATR_Scaled").cast("double"), "state", *([number] if number else [])).groupBy(episode).applyInPandas(run, f"{episode} {kind}, {_OUT}" + (_SEEN if seen else ""))
 
 
 def trades_of(trace: DataFrame, episode: str) -> DataFrame:
@@ -191,16 +295,26 @@ def next_epsilon(epoch: int, cfg: EngineConfig = DEFAULT) -> float:
 
 @dataclass(frozen=True)
 class Selection:
-    """Model selection over epochs: best validation gain so far and how long nothing improved."""
+    """Model selection over epochs: best validation gain so far and for how many epochs nothing was saved."""
 
     best: float = float("-inf")
     stale: int = 0
 
-    def update(self, gain: float, short_share: float, epoch: int, cfg: EngineConfig = DEFAULT) -> tuple[Selection, str]:
-        """The next selection and one of stop, save, early_stop, go_on."""
-        if epoch > cfg.warmup_epochs and short_share < cfg.min_short_share:
-            return self, "stop"
-        if gain > self.best + (cfg.min_improve if self.best > float("-inf") else 0.0):
-            return Selection(gain, 0), "save"
-        new = replace(self, stale=self.stale + 1)
-        return new, "early_stop" if epoch > cfg.warmup_epochs and new.stale > cfg.patience else "go_on"
+    def update(self, epoch: int, train_short: float, val_gain: float, val_long: float, val_short: float, bear_gain: float, cfg: EngineConfig = DEFAULT) -> tuple[Selection, bool, bool]:
+        """The next selection, whether to save, and whether to stop; shares are those of an action among all.
+
+        Training that hardly ever goes short stops at once, without a verdict on the epoch. An epoch is saved if both directions are used in
+        validation, its gain beats the best by ``min_improve`` and the bear year stays above its floor.
+        """
+        if epoch > cfg.warmup_epochs and train_short < cfg.min_short_share:
+            return self, False, True
+        directional = val_short >= cfg.min_short_share and val_long >= cfg.min_short_share
+        save = directional and val_gain > self.best + cfg.min_improve and bear_gain > cfg.bear_floor
+        new = Selection(val_gain, 0) if save else replace(self, stale=self.stale + 1)
+        return new, save, epoch >= cfg.warmup_epochs and new.stale >= cfg.patience
+
+
+def epoch_metrics(trace: DataFrame, by: list[str], cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Per group of a trace: ``realised_pnl, n_trades`` (ticks with a gain or loss), ``action_counts`` and ``update_count`` (always 0)."""
+    counts = F.array(*[F.count_if(F.col("action") == a) for a in range(cfg.actions)])
+    return trace.groupBy(*by).agg(F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("realised_pnl"), F.count_if(F.col("pnl") != 0).alias("n_trades"), counts.alias("action_counts"), F.lit(0).cast("bigint").alias("update_count"))
