@@ -321,7 +321,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, ite
     common = marks.join(shared, "mark").groupBy("th").agg(F.collect_set("mark").alias("shared"))
     parts = materialize(texts.join(common, "th", "left").mapInPandas(_parts, "th bigint, part int, words binary"), "parts")
     index = materialize(parts.mapInPandas(_index, "key bigint, th bigint, part int"), "index")
-    bits = 1 << max(10, min(MOST_BITS, BITS * max(1, index.count())).bit_length() - 1)
+    bits = min(MOST_BITS, 1 << (BITS * max(32, index.count())).bit_length())  # a power of two
     put = index.select("key").mapInPandas(_bits(bits), "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most MOST_BITS / 64 rows
     filled = np.zeros(bits // 64, dtype=np.int64)
     filled[put["at"].to_numpy(dtype=np.int64)] = put["bits"].to_numpy(dtype=np.int64)
