@@ -65,14 +65,15 @@ _FEATURES = f"""SELECT series, row_number() OVER (PARTITION BY series ORDER BY t
   WHERE {" AND ".join(f'"{c}" IS NOT NULL AND NOT isnan("{c}")' for c in ("Close", *FEATURES))}"""
 
 
-@query("""SELECT row_id, Open_time, "Open", High, Low, "Close", Volume, Trades, Quote_volume, Ignore FROM klines""")
+@query("""SELECT row_id, Open_time, "Open", High, Low, "Close", Volume, Trades, Quote_volume, Taker_buy_base, Taker_buy_quote, Ignore,
+  CASE WHEN regexp_full_match(trim(Close_time), '[0-9]{1,18}') THEN CAST(trim(Close_time) AS BIGINT) END AS Close_time FROM klines""")
 def parse_payloads(spark, d):
     """S3: each candle as a JSON 12-tuple and back."""
     k = table(spark, d, "klines")
     text = {f: F.col(f).cast("string") for f in FIELDS} | {"Open_time": F.unix_millis(F.col("Open_time").cast("timestamp")).cast("string")}
     payload = k.select("row_id", F.to_json(F.array(F.array(*[text[f] for f in FIELDS]))).alias("payload"))
     out = parse_klines(payload, "payload", "row_id")
-    return out.select("row_id", F.col("Open_time").cast("timestamp_ntz").alias("Open_time"), "Open", "High", "Low", "Close", "Volume", "Trades", "Quote_volume", "Ignore")
+    return out.select("row_id", F.col("Open_time").cast("timestamp_ntz").alias("Open_time"), "Open", "High", "Low", "Close", "Volume", "Trades", "Quote_volume", "Taker_buy_base", "Taker_buy_quote", "Ignore", "Close_time")
 
 
 @query(f"""WITH k AS (SELECT *, year(Open_time) AS y FROM klines), s AS (
@@ -109,22 +110,29 @@ def absolute_moves(spark, d):
     return out.select("series", F.round("m", 9).alias("median_move"), "n", F.round(0.0003 / F.when(F.col("m") != 0, F.col("m")), 4).alias("commission_ratio"))
 
 
-@query(f"""WITH w AS (SELECT series, tick, CAST("RSI_Scaled" AS DOUBLE) AS x, avg(CAST("RSI_Scaled" AS DOUBLE)) OVER v AS m, stddev_pop(CAST("RSI_Scaled" AS DOUBLE)) OVER v AS s FROM ({_FEATURES})
-  WINDOW v AS (PARTITION BY series ORDER BY tick ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) SELECT series, tick, round((x - m) / (s + 1e-6), 4) + 0.0 AS slope FROM w WHERE s = 0 OR s > 1e-3""")
+def _lags(x: str, n: int, over: str) -> str:
+    return ", ".join(f"lag({x}, {j}) OVER {over} AS l{j}" for j in range(n))
+
+
+def _sum(terms) -> str:
+    return " + ".join(terms)
+
+
+_MEAN = f"(({_sum(f'coalesce(l{j}, 0)' for j in range(8))}) / ({_sum(f'(CASE WHEN l{j} IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)' for j in range(8))}))"
+_SPREAD = f"sqrt(({_sum(f'(CASE WHEN l{j} IS NOT NULL THEN (l{j} - m) * (l{j} - m) ELSE 0 END)' for j in range(8))}) / ({_sum(f'(CASE WHEN l{j} IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)' for j in range(8))}))"
+
+
+@query(f"""WITH w AS (SELECT series, tick, {_lags('CAST("RSI_Scaled" AS DOUBLE)', 8, "v")} FROM ({_FEATURES}) WINDOW v AS (PARTITION BY series ORDER BY tick)), m AS (SELECT *, {_MEAN} AS m FROM w)
+  SELECT series, tick, round((l0 - m) / ({_SPREAD} + 1e-6), 4) + 0.0 AS slope FROM m""")
 def rolling_slope(spark, d):
-    """Slope of a feature over its last eight values (nearly constant windows, where it is rounding noise, are left out)."""
+    """Slope of a feature over its last eight values, at every tick."""
     f = W.slopes(_features(spark, d).withColumn("x", F.col("RSI_Scaled").cast("double")), ["x"])
-    from tidemark.plans.blocks import neighbourhood
-
-    near, w = neighbourhood(f, "series", "tick", 7)
-    s = F.stddev_pop("x").over(w.rowsBetween(-7, 0))
-    out = near.withColumn("s", s).filter("_own and (s = 0 or s > 1e-3)").select("series", "tick", F.col("x_slope").alias("slope"))
-    return rounded(out, 4, "slope")
+    return rounded(f.select("series", "tick", F.col("x_slope").alias("slope")), 4, "slope")
 
 
 @query()
 def rolling_slope_all(spark, d):
-    """As rolling_slope, with the nearly constant windows (no SQL: compared with a tolerance in the tests)."""
+    """As rolling_slope, not rounded (no SQL: compared with a tolerance in the tests)."""
     f = W.slopes(_features(spark, d).withColumn("x", F.col("RSI_Scaled").cast("double")), ["x"])
     return f.select("series", "tick", F.col("x_slope").alias("slope"))
 
@@ -156,6 +164,41 @@ def pace_current(spark, d):
     return rounded(states.filter(F.col("tick") >= 128 + _PACE).select("series", "tick", F.col("state")[at + 1].cast("double").alias("current")), 5, "current")
 
 
+_STATES = " UNION ALL ".join(f"""SELECT series, {p} AS pace, CASE WHEN tick > 128 THEN (tick - 128) // {p} ELSE 1 - (128 - tick) // {p} END AS m, {", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in FEATURES)} FROM f
+  WHERE (tick > 128 AND (tick - 128) % {p} = 0) OR (tick < 128 AND (128 - tick) % {p} = 0 AND 128 - tick <= 8 * {p})""" for p in DEFAULT.paces)
+_LONG = " UNION ALL ".join(f'SELECT series, pace, m, {i} AS feature, "{c}" AS x FROM h' for i, c in enumerate(FEATURES))
+_ZERO = ", ".join(f"coalesce(lag(x, {j}) OVER v, 0) AS l{j}" for j in range(8))
+
+
+@query(f"""WITH f AS ({_FEATURES}), h AS ({_STATES}), x AS ({_LONG}), w AS (SELECT series, pace, m, feature, {_ZERO} FROM x WINDOW v AS (PARTITION BY series, pace, feature ORDER BY m)),
+  a AS (SELECT *, ({_sum(f'l{j}' for j in range(8))}) / 8 AS mu FROM w), s AS (SELECT series, pace, m, feature, l0 AS x, (l0 - mu) / (sqrt(({_sum(f'(l{j} - mu) * (l{j} - mu)' for j in range(8))}) / 8) + 1e-6) AS slope FROM a),
+  t AS (SELECT series, tick, p AS pace, i AS feature, (tick - 128) // p AS m FROM f, (VALUES (1), (6), (42), (90)) AS q(p), range(6) AS r(i) WHERE tick > 128)
+  SELECT t.series, t.tick, CAST(t.pace AS INTEGER) AS pace, CAST(t.feature AS INTEGER) AS feature, round(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE), 5) + 0.0 AS current, round(CAST(CAST(coalesce(slope, 0) AS FLOAT) AS DOUBLE), 4) + 0.0 AS slope
+  FROM t LEFT JOIN s ON t.series = s.series AND t.pace = s.pace AND t.feature = s.feature AND t.m = s.m""")
+def pace_states(spark, d):
+    """W1-W3, ST10: every pace and feature of every state: its last sample and slope."""
+    n = len(FEATURES)
+    parts = F.array(*[F.struct(F.lit(p).alias("pace"), F.lit(i).alias("feature"), F.col("state")[2 * n * j + i].alias("current"), F.col("state")[2 * n * j + n + i].alias("slope")) for j, p in enumerate(DEFAULT.paces) for i in range(n)])
+    x = W.open_loop_state(_features(spark, d)).select("series", "tick", F.explode(parts).alias("x")).select("series", "tick", "x.pace", "x.feature", F.col("x.current").cast("double").alias("current"), F.col("x.slope").cast("double").alias("slope"))
+    return rounded(rounded(x, 5, "current"), 4, "slope")
+
+
+@query("""SELECT row_id, epoch_ms(Open_time) AS epoch_ms, strftime(Open_time, '%Y-%m-%d %H:%M') AS label, (epoch_ms(Open_time) // 60000) // 60 AS hours, (epoch_ms(Open_time) // 60000) % 60 AS minutes FROM klines WHERE Open_time IS NOT NULL""")
+def time_parts(spark, d):
+    """epoch, text and quotient with remainder of a moment."""
+    t = table(spark, d, "klines").filter("Open_time is not null").select("row_id", F.unix_millis(F.col("Open_time").cast("timestamp")).alias("epoch_ms"), F.date_format("Open_time", "yyyy-MM-dd HH:mm").alias("label"))
+    return t.select("*", F.expr("epoch_ms div 60000 div 60").alias("hours"), F.expr("epoch_ms div 60000 % 60").alias("minutes"))
+
+
+@query("""SELECT CAST(e AS INTEGER) AS epoch, round(greatest(0.01, 0.1 * power(power(0.1, 1.0 / 20), e)), 12) AS epsilon FROM range(100) AS q(e)""")
+def epsilon_schedule(spark, d):
+    """chance of a random action by epoch."""
+    from tidemark.operators.simulate import DEFAULT as C
+
+    e = F.col("id").cast("int")
+    return spark.range(C.epochs).select(e.alias("epoch"), F.round(S.decay(C.epsilon_start, C.epsilon_decay, C.epsilon_end, e), 12).alias("epsilon"))
+
+
 # -- trades ---------------------------------------------------------------------------------------
 
 _TRADES = "SELECT *, upper(side) AS s FROM trades"
@@ -291,14 +334,14 @@ def side_by_hour(spark, d):
     return _trades(spark, d).filter("ingest_time is not null").groupBy(F.hour("ingest_time").cast("bigint").alias("hour")).agg(F.count_if(F.col("side") == "LONG").alias("n_long"), F.count_if(F.col("side") == "SHORT").alias("n_short"))
 
 
-@query("""SELECT trade_id, round(pnl + CASE WHEN pnl > 0.001 THEN pnl * 0.1 ELSE 0 END - CASE WHEN duration > 16 THEN 0.000005 ELSE 0 END, 10) + 0.0 AS reward,
+@query("""SELECT trade_id, round(pnl + CASE WHEN pnl > 0.001 THEN pnl * 0.1 ELSE 0 END, 10) + 0.0 AS reward,
   round(CASE upper(side) WHEN 'LONG' THEN (CAST(exit_price AS DOUBLE) * (1 - 0.00015) - CAST(entry_price AS DOUBLE) * 1.00015) / (CAST(entry_price AS DOUBLE) * 1.00015)
    WHEN 'SHORT' THEN (CAST(entry_price AS DOUBLE) * (1 - 0.00015) - CAST(exit_price AS DOUBLE) * 1.00015) / (CAST(entry_price AS DOUBLE) * (1 - 0.00015)) END, 9) + 0.0 AS closed FROM trades""")
 def trade_rewards(spark, d):
     """Shaped reward, gain after commission."""
     t = _trades(spark, d)
     p0, p1 = F.col("entry_price").cast("double"), F.col("exit_price").cast("double")
-    reward = S.shaped_reward(F.col("pnl"), F.coalesce(F.col("duration") > 16, F.lit(False)), F.lit(True))
+    reward = S.shaped_reward(F.col("pnl"), F.lit(False), F.lit(False))  # a tick that closes holds nothing any more
     return t.select("trade_id", (F.round(reward, 10) + 0.0).alias("reward"), (F.round(S.close_pnl(F.col("side"), S.entry_price(F.col("side"), p0), p1), 9) + 0.0).alias("closed"))
 
 
@@ -310,6 +353,29 @@ def trade_entries(spark, d):
     return t.join(b, ["episode_id", "entry_tick"]).select("trade_id", "row_id", "action")
 
 
+_TRADE_METRICS = {
+    "trades": "CAST(count(*) AS DOUBLE)", "win_rate": "avg(w)", "mean": "avg(pnl)", "median": "quantile_cont(pnl, 0.5)", "std": "stddev_pop(pnl)", "total": "sum(pnl)", "best": "max(pnl)", "worst": "min(pnl)",
+    "sharpe": "CASE WHEN stddev_pop(pnl) > 0 THEN avg(pnl) / stddev_pop(pnl) * sqrt(count(*)) END", "median_hold": "quantile_cont(CAST(duration AS DOUBLE), 0.5)", "hold_hours": "quantile_cont(CAST(duration AS DOUBLE), 0.5) * 4",
+    **{f"{s.lower()}_{n}": f.replace("?", s) for s in ("LONG", "SHORT") for n, f in (("trades", "CAST(count(*) FILTER (side = '?') AS DOUBLE)"), ("win_rate", "avg(w) FILTER (side = '?')"), ("mean", "avg(pnl) FILTER (side = '?')"))},
+    "conviction_over_50": "avg(CASE WHEN c IS NOT NULL THEN CAST(c > 0.5 AS DOUBLE) END)", "conviction_over_70": "avg(CASE WHEN c IS NOT NULL THEN CAST(c > 0.7 AS DOUBLE) END)", "top_win_rate": "avg(w) FILTER (c >= q[2])", "bottom_win_rate": "avg(w) FILTER (c < q[1])",
+    "conviction_edge": "avg(w) FILTER (c >= q[2]) - avg(w) FILTER (c < q[1])",
+}
+
+
+@query("""WITH t AS (SELECT pnl, duration, upper(side) AS side, CASE WHEN isfinite(entry_conviction) THEN entry_conviction END AS c, CAST(pnl > 0 AS DOUBLE) AS w FROM trades WHERE pnl IS NOT NULL AND isfinite(pnl)), k AS (SELECT quantile_cont(c, [0.33, 0.66]) AS q FROM t),
+  o AS (SELECT """ + ", ".join(f"{v} AS {k}" for k, v in _TRADE_METRICS.items()) + " FROM t, k) " + " UNION ALL ".join(f"SELECT '{k}' AS metric, round({k}, 8) + 0.0 AS value FROM o" for k in _TRADE_METRICS))
+def diagnostic_summary(spark, d):
+    """The summary of all trades as metric and value."""
+    return rounded(D.summary(table(spark, d, "trades")), 8, "value")
+
+
+@query("""SELECT episode_id, round(coalesce(sum(pnl), 0), 8) + 0.0 AS realised_pnl, count(*) FILTER (pnl <> 0) AS n_trades FROM (SELECT episode_id, CASE WHEN isfinite(pnl) THEN pnl END AS pnl FROM trades) GROUP BY episode_id""")
+def episode_outcomes(spark, d):
+    """A38, ST13: gain of each episode, and its trades that gained or lost anything."""
+    t = table(spark, d, "trades").select("episode_id", D.finite(F.col("pnl")).alias("pnl"), F.lit(None).cast("int").alias("action"))
+    return rounded(Z.epoch_metrics(t, ["episode_id"]).select("episode_id", "realised_pnl", "n_trades"), 8, "realised_pnl")
+
+
 # -- bank -----------------------------------------------------------------------------------------
 
 
@@ -374,6 +440,33 @@ def prune_strata(spark, d):
     return kept.groupBy(F.coalesce(F.abs("mc_return") > 0.0005, F.lit(False)).alias("signal")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH b AS (SELECT row_id, coalesce(abs(mc_return) > 0.0005, false) AS s, md5('0:' || CAST(row_id AS VARCHAR)) AS h FROM memory_bank), c AS (SELECT count(*) FILTER (s) AS s, count(*) FILTER (NOT s) AS z FROM b),
+  k AS (SELECT s, z, least(s, 500) AS ks FROM c), m AS (SELECT s, z, least(z, 1000 - ks) AS kz FROM k), l AS (SELECT CASE WHEN s + z <= 1000 THEN s ELSE least(s, 1000 - kz) END AS ls, CASE WHEN s + z <= 1000 THEN z ELSE kz END AS lz FROM m)
+  SELECT row_id FROM (SELECT row_id, s, row_number() OVER (PARTITION BY s ORDER BY h, row_id) AS r FROM b) x, l WHERE r <= CASE WHEN x.s THEN ls ELSE lz END""")
+def pruned_rows(spark, d):
+    """Which rows stay when the bank is cut to 1000."""
+    return R.prune(table(spark, d, "memory_bank"), 1000).select("row_id")
+
+
+@query("""SELECT row_id FROM memory_bank ORDER BY md5('0:' || CAST(row_id AS VARCHAR)), row_id LIMIT 500""")
+def sampled_rows(spark, d):
+    """T5: 500 rows of the bank without replacement (a sampling operator)."""
+    return R.sample_rows(table(spark, d, "memory_bank"), 500).select("row_id")
+
+
+@query("""SELECT row_id, episode_id, tick, action FROM memory_bank WHERE action IS NOT NULL AND action <> 3""")
+def action_markers(spark, d):
+    """Everything but HOLD."""
+    return table(spark, d, "memory_bank").filter("action <> 3").select("row_id", "episode_id", "tick", "action")
+
+
+@query("""SELECT row_id FROM memory_bank WHERE action IS NOT NULL AND episode_id IS NOT NULL AND tick IS NOT NULL QUALIFY lead(row_id) OVER (PARTITION BY episode_id ORDER BY tick, row_id) IS NOT NULL""")
+def pushed_rows(spark, d):
+    """Rows that are pushed once their successor is known: all but the last of each episode."""
+    b = _in_order(table(spark, d, "memory_bank").filter("action is not null and episode_id is not null and tick is not null").select("episode_id", "tick", "row_id"))
+    return b.join(b.groupBy("episode_id").agg(F.max("i").alias("_last")), "episode_id").filter("i < _last").select("row_id")
+
+
 @query("""WITH x AS (SELECT m.*, quantile_cont(CAST("ATR_Scaled" AS DOUBLE), 0.25) OVER () AS q1, quantile_cont(CAST("ATR_Scaled" AS DOUBLE), 0.75) OVER () AS q3 FROM (""" + _FEATURES + """) m), r AS (SELECT *, unnest(list_filter([
   CASE WHEN "MeanDev_Scaled"::DOUBLE > 0.1 AND "ATR_Scaled" > 0 THEN 'trending_up' END, CASE WHEN "MeanDev_Scaled"::DOUBLE < -0.1 AND "ATR_Scaled" > 0 THEN 'trending_down' END, CASE WHEN "MeanDev_Scaled"::DOUBLE BETWEEN -0.1 AND 0.1 THEN 'ranging' END,
   CASE WHEN "ATR_Scaled"::DOUBLE > q3 THEN 'high_vol' END, CASE WHEN "ATR_Scaled"::DOUBLE < q1 THEN 'low_vol' END], lambda v: v IS NOT NULL)) AS regime FROM x)
@@ -504,13 +597,39 @@ def knn_vote_temporal(spark, d):
     return _vote_columns(K.votes(K.neighbour_weights(K.knn(_queries(spark, d), bank, min_tick_gap=100), bank)))
 
 
-@query()
+_VOTES = _VOTE[: _VOTE.index("FROM w GROUP BY qid)")].replace("SELECT qid,\n", "SELECT qid, avg(ret) FILTER (isfinite(ret)) AS rm, stddev_pop(ret) FILTER (isfinite(ret)) AS rs,\n") + "FROM w GROUP BY qid)"
+
+
+def _shares(votes: str, allowed: list[int]) -> str:
+    """Columns f0..f3, of which the masked ones are 0, to shares."""
+    f = [f"v{a}" if a in allowed else "0.0::DOUBLE" for a in range(4)]
+    low = f"least({', '.join(f)})"
+    s = [f"({f[a]} - {low} + 1e-8)" if a in allowed else "0.0::DOUBLE" for a in range(4)]
+    return ", ".join(f"round({s[a]} / ({_sum(s)}), 5) + 0.0 AS {votes}{a}" for a in range(4))
+
+
+def _first_best(allowed: list[int]) -> str:
+    top = f"greatest({', '.join(f'v{a}' for a in allowed)})"
+    return "CAST(CASE " + " ".join(f"WHEN v{a} = {top} THEN {a}" for a in allowed) + " END AS INTEGER)"
+
+
+def _top2(allowed: list[int]) -> str:
+    v = f"list_sort([{', '.join(f'v{a}' for a in allowed)}], 'DESC')"
+    return f"round({v}[1] - {v}[2], 4) + 0.0"
+
+
+@query("WITH " + _DIST + _VOTES.format(keep="true") + f""", x AS (SELECT qid, count(*) FILTER (away) AS n, count(*) AS t FROM d GROUP BY qid)
+  SELECT v.qid, {_first_best([0, 1, 2, 3])} AS action, {_top2([0, 1, 2, 3])} AS margin, {_shares("s", [0, 1, 2, 3])}, round(coalesce(rm, 0), 5) + 0.0 AS ret_mean, round(coalesce(rs, 0), 5) + 0.0 AS ret_std,
+  {_first_best([0, 1, 3])} AS flat_action, {_top2([0, 1, 3])} AS flat_margin, {_shares("f", [0, 1, 3])}, CASE WHEN n < t THEN n ELSE 0 END AS excluded FROM v JOIN x ON v.qid = x.qid""")
 def knn_decision(spark, d):
-    """Action, shares and margin with and without a mask (no SQL: golden values in the tests)."""
-    bank = table(spark, d, "memory_bank")
-    w = K.neighbour_weights(K.knn(_queries(spark, d), bank), bank)
-    free, flat = K.votes(w), K.votes(w, F.array(F.lit(True), F.lit(True), F.lit(False), F.lit(True)))
-    return free.join(flat.select("qid", F.col("action").alias("flat_action"), F.col("shares").alias("flat_shares"), F.col("margin").alias("flat_margin")), "qid")
+    """Action, shares and margin of each query with and without the mask of a flat portfolio, and what temporal exclusion would leave out."""
+    bank, q = table(spark, d, "memory_bank"), _queries(spark, d)
+    w = K.neighbour_weights(K.knn(q, bank), bank)
+    flat = K.votes(w, S.action_mask(F.lit(None).cast("string")))
+    pick = lambda v, p: [F.col("action").alias(f"{p}action"), (F.round("margin", 4) + 0.0).alias(f"{p}margin"), *[(F.round(F.col("shares")[a], 5) + 0.0).alias(f"{(p or 's')[0]}{a}") for a in range(4)]]
+    free = K.votes(w)
+    out = free.select("qid", *pick(free, ""), (F.round("ret_mean", 5) + 0.0).alias("ret_mean"), (F.round("ret_std", 5) + 0.0).alias("ret_std"))
+    return out.join(flat.select("qid", *pick(flat, "flat_")), "qid").join(K.excluded_counts(q, bank, DEFAULT.min_tick_gap), "qid")
 
 
 @query("WITH " + _DIST + """, k AS (SELECT qid, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, bid) AS rank FROM d WHERE qid <> bid), n AS (SELECT * FROM k WHERE rank <= 10)
@@ -522,7 +641,11 @@ def distance_report(spark, d):
     return rounded(rounded(K.distance_report(near), 6, "median_first", "median_tenth", "median_all"), 8, "near_copies")
 
 
-@query()
+@query("WITH " + _DIST[: _DIST.index("d AS (SELECT q.row_id")].rstrip().rstrip(",") + """, e AS (SELECT i, quantile_cont(s[i + 1], 0.1) AS lo, quantile_cont(s[i + 1], 0.9) AS hi FROM q, range(6) AS r(i) GROUP BY i),
+  p AS (SELECT row_id * 12 + i * 2 + x AS qid, list_concat(s[1:i], [CAST(CAST(CASE WHEN x = 0 THEN lo ELSE hi END AS FLOAT) AS DOUBLE)], s[i + 2:50]) AS s FROM q, e, range(2) AS y(x)),
+  d AS (SELECT p.qid, b.row_id AS bid, list_distance(p.s, b.s) AS dist, b.action, b.ret, false AS away FROM p, b)""" + _VOTES.format(keep="true") + """, l AS (SELECT *, least(v0, v1, v2, v3) AS low FROM v),
+  s AS (SELECT qid, [(x - low + 1e-8) / (v0 + v1 + v2 + v3 - 4 * low + 4e-8) FOR x IN [v0, v1, v2, v3]] AS s FROM l), u AS (SELECT a.qid // 2 % 6 AS feature, unnest(range(4)) AS action, unnest([b.s[j + 1] - a.s[j + 1] FOR j IN range(4)]) AS delta
+  FROM s a JOIN s b ON a.qid % 2 = 0 AND b.qid = a.qid + 1) SELECT CAST(feature AS INTEGER) AS feature, CAST(action AS INTEGER) AS action, round(avg(delta), 5) + 0.0 AS mean_delta, round(stddev_pop(delta), 5) + 0.0 AS std_delta FROM u GROUP BY ALL""")
 def share_sensitivity(spark, d):
     """How the vote shares of the stated queries change when a feature goes from its 10th to its 90th percentile."""
     bank = table(spark, d, "memory_bank")
@@ -534,7 +657,7 @@ def share_sensitivity(spark, d):
     v = K.votes(K.neighbour_weights(K.knn(probes, bank), bank)).select("qid", "shares")
     low, high = v.filter("qid % 2 = 0").select((F.expr("qid div 2")).alias("p"), F.col("shares").alias("a")), v.filter("qid % 2 = 1").select(F.expr("qid div 2").alias("p"), F.col("shares").alias("b"))
     x = low.join(high, "p").withColumn("feature", (F.col("p") % 6).cast("int")).select("feature", F.posexplode(F.zip_with("a", "b", lambda a, b: b - a)).alias("action", "delta"))
-    return x.groupBy("feature", "action").agg(F.avg("delta").alias("mean_delta"), F.stddev_pop("delta").alias("std_delta"))
+    return rounded(x.groupBy("feature", "action").agg(F.avg("delta").alias("mean_delta"), F.stddev_pop("delta").alias("std_delta")), 5, "mean_delta", "std_delta")
 
 
 # -- loop -----------------------------------------------------------------------------------------
@@ -597,16 +720,18 @@ def regime_decisions(spark, d):
 
 @query()
 def policy_confusion(spark, d):
-    """A12, ST14: action of the trace against the best vote of a second query without mask, and the share of ticks where they agree."""
-    bank = materialize(Z.memory_rows(table(spark, d, "memory_bank")), "bank")
-    before = F.coalesce(F.lag("side").over(Window.partitionBy("series").orderBy("tick")), F.lit(""))
-    held = F.when(before == "LONG", 1.0).when(before == "SHORT", -1.0).otherwise(0.0)
-    trace = _trace(spark, d).select("series", "tick", "action", held.alias("held"), "unrealised")
-    states = W.open_loop_state(_features(spark, d)).select("series", "tick", F.col("state").alias("market"))
-    own = F.array(F.col("held").cast("float"), F.col("unrealised").cast("float"))
-    q = trace.join(states, ["series", "tick"]).select("action", F.concat(F.slice("market", 1, DEFAULT.state_dim - 2), own).alias("state"))
-    none = F.lit(None).cast("bigint")
-    q = materialize(q.select(F.monotonically_increasing_id().alias("row_id"), none.alias("episode_id"), none.alias("tick"), "action", "state"), "trace")
-    v = K.votes(K.neighbour_weights(K.knn(q, bank), bank)).select(F.col("qid").alias("row_id"), F.col("action").alias("best_vote"))
-    c = D.confusion(q.join(v, "row_id"), "action", "best_vote")
+    """A12, ST14: action of the trace against the best vote without a mask, and the share of ticks where they agree."""
+    c = D.confusion(_trace(spark, d).withColumn("best_vote", S.argmax_first(F.col("vote"))), "action", "best_vote")
     return c.crossJoin(c.agg((F.sum(F.when(F.col("action") == F.col("best_vote"), F.col("n")).otherwise(0)) / F.sum("n")).alias("match_rate")))  # one row
+
+
+@query()
+def policy_health(spark, d):
+    """ST14, A24, A39: conviction, entropy, agreement, margin and neighbours' returns over the trace."""
+    return D.policy_health(_trace(spark, d))
+
+
+@query()
+def trace_metrics(spark, d):
+    """ST13: gain, trades and action counts of each series' pass."""
+    return Z.epoch_metrics(_trace(spark, d), ["series"])

@@ -25,10 +25,6 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def shaped_reward(pnl: Column, holding: Column, in_position: Column, cfg: EngineConfig = DEFAULT) -> Column:
     bonus = F.when(pnl > cfg.bonus_above, pnl * cfg.bonus).otherwise(0.0)
     return pnl + bonus - F.when(holding & in_position, cfg.hold_cost).otherwise(0.0)
@@ -72,10 +68,6 @@ def decay(start: float, rate: float, floor: float, epoch: Column) -> Column:
     return F.greatest(F.lit(floor), F.lit(start) * F.pow(F.lit(rate), epoch))
 
 
-def linspace(low: Column, high: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: low + (high - low) * i / n)
-
-
 def seeded_uniform(seed: int, *keys: Column) -> Column:
     """Reproducible number in [0, 1) of a row, whatever the partitioning."""
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / float(1 << 52)

@@ -96,14 +96,18 @@ def quantile_groups(df: DataFrame, value: str, flag: str, groups: int = 5) -> Da
     return x.groupBy("grp").agg(F.count("*").alias("n"), F.avg(F.col(flag).cast("double")).alias("rate"))
 
 
+#: Fixed values: |mean deviation| of a trend, and the quantiles of volatility that bound low and high.
+TREND, CALM, WILD = 0.1, 0.25, 0.75
+
+
 def regime_labels(mean_dev: Column, atr: Column, low: Column, high: Column) -> Column:
     """All regimes of a row; they overlap. Thresholds of volatility are the quartiles of the table."""
-    return F.array_compact(F.array(F.when((mean_dev > 0.1) & (atr > 0), "trending_up"), F.when((mean_dev < -0.1) & (atr > 0), "trending_down"), F.when((mean_dev >= -0.1) & (mean_dev <= 0.1), "ranging"),
+    return F.array_compact(F.array(F.when((mean_dev > TREND) & (atr > 0), "trending_up"), F.when((mean_dev < -TREND) & (atr > 0), "trending_down"), F.when((mean_dev >= -TREND) & (mean_dev <= TREND), "ranging"),
                                    F.when(atr > high, "high_vol"), F.when(atr < low, "low_vol")))
 
 
 def with_regimes(df: DataFrame, mean_dev: str = "MeanDev_Scaled", atr: str = "ATR_Scaled") -> DataFrame:
-    q = df.agg(F.percentile(F.col(atr).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q = df.agg(F.percentile(F.col(atr).cast("double"), F.array(F.lit(CALM), F.lit(WILD))).alias("_q"))
     labels = regime_labels(F.col(mean_dev).cast("double"), F.col(atr).cast("double"), F.col("_q")[0], F.col("_q")[1])
     return df.crossJoin(q).withColumn("regime", F.explode(labels)).drop("_q")  # one row
 
@@ -156,3 +160,29 @@ def correlation(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     both = x.isNotNull() & y.isNotNull()
     d = df.filter(both).groupBy(*by).agg(F.count("*").alias("n"), F.corr(a, b).alias("r"))
     return d.withColumn("r", F.when((F.col("n") < 2) | F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r")))
+
+
+def summary(trades: DataFrame, conviction: str = "entry_conviction", cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``metric, value`` of a trade list: outcomes, sides and conviction edge. Trades without a finite gain are left out."""
+    t = trades.withColumn("pnl", finite(F.col("pnl"))).filter("pnl is not null").withColumn("side", F.upper("side")).withColumn("_c", finite(F.col(conviction)))
+    q = t.agg(F.percentile("_c", F.array(F.lit(0.33), F.lit(0.66))).alias("_q"))
+    won = (F.col("pnl") > 0).cast("double")
+    std, side = F.stddev_pop("pnl"), lambda s, c: F.when(F.col("side") == s, c)
+    top, low = F.avg(F.when(F.col("_c") >= F.col("_q")[1], won)), F.avg(F.when(F.col("_c") < F.col("_q")[0], won))
+    metrics = {
+        "trades": F.count("*").cast("double"), "win_rate": F.avg(won), "mean": F.avg("pnl"), "median": F.percentile("pnl", F.lit(0.5)), "std": std, "total": F.sum("pnl"), "best": F.max("pnl"), "worst": F.min("pnl"),
+        "sharpe": F.when(std > 0, F.avg("pnl") / std * F.sqrt(F.count("*"))), "median_hold": F.percentile("duration", F.lit(0.5)), "hold_hours": F.percentile("duration", F.lit(0.5)) * cfg.candle_hours,
+        **{f"{s.lower()}_{n}": f(s) for s in ("LONG", "SHORT") for n, f in (("trades", lambda s: F.count_if(F.col("side") == s).cast("double")), ("win_rate", lambda s: F.avg(side(s, won))), ("mean", lambda s: F.avg(side(s, F.col("pnl")))))},
+        "conviction_over_50": F.avg((F.col("_c") > 0.5).cast("double")), "conviction_over_70": F.avg((F.col("_c") > 0.7).cast("double")), "top_win_rate": top, "bottom_win_rate": low, "conviction_edge": top - low,
+    }
+    one = t.crossJoin(q).agg(*[m.alias(n) for n, m in metrics.items()])  # one row
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in metrics])).alias("x")).select("x.*")
+
+
+def policy_health(trace: DataFrame) -> DataFrame:
+    """One row of a trace with votes: conviction, entropy, agreement with the best vote, margin and neighbours' returns."""
+    from tidemark.functions.scalars import argmax_first, entropy_bits
+
+    c = F.array_max("shares")
+    return trace.agg(F.count("*").alias("n"), F.avg(c).alias("conviction"), F.avg((c > 0.5).cast("double")).alias("over_50"), F.avg((c > 0.7).cast("double")).alias("over_70"), F.avg(entropy_bits(F.col("shares"))).alias("entropy"),
+                     F.avg((argmax_first(F.col("vote")) == F.col("action")).cast("double")).alias("match_rate"), F.avg("margin").alias("margin"), F.avg("ret_mean").alias("ret_mean"), F.avg("ret_std").alias("ret_std"))

@@ -6,6 +6,9 @@ margins (``plans.blocks``): a series that holds a third of all rows is many task
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +40,22 @@ def with_splits(df: DataFrame, at: str, cfg: EngineConfig = DEFAULT) -> DataFram
     return df.withColumn("split", F.explode(split_labels(F.year(at), cfg)))
 
 
+def _deviation(values: list[Column], cfg: EngineConfig) -> Column:
+    """Distance of the first value from the mean of all that aren't null, in their standard deviations; two passes, so nearly equal values keep their digits."""
+    here = [F.coalesce(v, F.lit(0.0)) for v in values]
+    n = reduce(add, [F.when(v.isNotNull(), 1.0).otherwise(0.0) for v in values])
+    mean = reduce(add, here) / n
+    spread = reduce(add, [F.when(v.isNotNull(), (v - mean) * (v - mean)).otherwise(0.0) for v in values]) / n
+    return (values[0] - mean) / (F.sqrt(spread) + cfg.slope_eps)
+
+
 def slopes(df: DataFrame, columns: list[str], source: str = "series", tick: str = "tick", cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``<column>_slope``: distance of a value from the mean of the last samples, in their standard deviations."""
+    """``<column>_slope``: distance of a value from the mean of the last samples, in their standard deviations. Values aren't null."""
     near, w = neighbourhood(df, source, tick, cfg.history - 1)
-    w = w.rowsBetween(-(cfg.history - 1), 0)
     for c in columns:
         x = F.col(c).cast("double")
-        near = near.withColumn(f"{c}_slope", (x - F.avg(x).over(w)) / (F.stddev_pop(x).over(w) + cfg.slope_eps))
+        near = near.withColumns({f"_l{j}": F.lag(x, j).over(w) for j in range(cfg.history)})
+        near = near.withColumn(f"{c}_slope", _deviation([F.col(f"_l{j}") for j in range(cfg.history)], cfg)).drop(*[f"_l{j}" for j in range(cfg.history)])
     return near.filter("_own").drop("_blk", "_own")
 
 
@@ -70,15 +82,10 @@ def pace_samples(features: DataFrame, pace: int, source: str = "series", tick: s
     h, off = cfg.history, F.col(tick) - cfg.warmup
     m = F.when((off > 0) & (off % pace == 0), F.expr(f"({tick} - {cfg.warmup}) div {pace}")).when((off < 0) & (off % pace == 0) & (off >= -h * pace), F.expr(f"1 - ({cfg.warmup} - {tick}) div {pace}"))
     near, w = neighbourhood(features.withColumn("_m", m + h - 1).filter("_m is not null"), source, "_m", h - 1)
-    w = w.rangeBetween(-(h - 1), 0)
-    n = F.count(F.lit(1)).over(w)
-    current, slope = [], []
-    for c in cfg.features:
-        x = F.col(c).cast("double")
-        mean = F.sum(x).over(w) / h
-        spread = n * F.var_pop(x).over(w) + n * F.pow(F.avg(x).over(w) - mean, 2) + (h - n) * mean * mean  # absent rows count as zeros
-        current.append(x)
-        slope.append((x - mean) / (F.sqrt(spread / h) + cfg.slope_eps))
+    lags = {f"_{c}{j}": F.coalesce(F.lag(F.col(c).cast("double"), j).over(w), F.lit(0.0)) for c in cfg.features for j in range(h)}  # rows before the first count as zeros
+    near = near.withColumns(lags)
+    current = [F.col(f"_{c}0") for c in cfg.features]
+    slope = [_deviation([F.col(f"_{c}{j}") for j in range(h)], cfg) for c in cfg.features]
     near = near.withColumn("current", F.array(*current)).withColumn("slope", F.array(*slope))
     return near.filter("_own").select(source, F.col(tick).alias("sampled"), "current", "slope")
 

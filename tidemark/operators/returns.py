@@ -48,7 +48,7 @@ def prune(bank: DataFrame, target: int, seed: int = 0, cfg: EngineConfig = DEFAU
     Rows are chosen by a seeded hash; a shortage of one stratum is filled from the other. Null returns are noise.
     The cap is the operator's purpose (a bank of bounded size).
     """
-    b = bank.withColumn("_s", F.coalesce(F.abs("mc_return") > cfg.signal_threshold, F.lit(False))).withColumn("_h", F.xxhash64(F.lit(seed), "row_id"))
+    b = bank.withColumn("_s", F.coalesce(F.abs("mc_return") > cfg.signal_threshold, F.lit(False))).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string"))))
     n = {r["_s"]: r["count"] for r in b.groupBy("_s").count().collect()}
     signal, noise = n.get(True, 0), n.get(False, 0)
     if signal + noise <= target:
@@ -60,6 +60,11 @@ def prune(bank: DataFrame, target: int, seed: int = 0, cfg: EngineConfig = DEFAU
     return parts[0].unionByName(parts[1]).drop("_s", "_h")
 
 
+def sample_rows(df: DataFrame, n: int, seed: int = 0, key: str = "row_id") -> DataFrame:
+    """``n`` rows without replacement (all, if there are fewer), by a seeded hash of the key: the same whatever the partitioning."""
+    return df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy("_h", key).limit(n).drop("_h")
+
+
 def bank_statistics(bank: DataFrame) -> DataFrame:
     r = F.when(~F.isnan("mc_return") & (F.abs("mc_return") < float("inf")), F.col("mc_return").cast("double"))
     return bank.agg(F.count("*").alias("n"), F.avg(r).alias("mean_return"), F.stddev_pop(r).alias("std_return"), *[F.count_if(F.col("action") == a).alias(f"n_action_{a}") for a in range(4)])

@@ -54,5 +54,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_grid(spark, sf_dir).filter("is_missing").select("series", "slot_ms")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_undeclared, p2_found, p5_found, p5_grid)} | analytics.QUERIES
-ORACLE = dict(analytics.ORACLE)
+def p5_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of the raw candles, whose moments are no texts: periods and whether they have a reading."""
+    k = table(spark, sf_dir, "klines").select("series", F.unix_millis(F.col("Open_time").cast("timestamp")).alias("utc_ms"), "Close")
+    step = table(spark, sf_dir, "feeds").select("series", (F.col("interval_min").cast("bigint") * 60_000).alias("step_ms"))
+    return regular_grid(k.join(step, "series"), "series", "utc_ms", "Close", "step_ms").select("series", "slot_ms", "is_missing")
+
+
+def p2_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings beyond physical bounds."""
+    found = implausible_readings(table(spark, sf_dir, "klines"), "row_id", "series", "Open_time", "ingest_time")
+    return found.filter("reason = 'impossible'").select("row_id", "field")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_undeclared, p2_found, p5_found, p5_grid, p5_klines, p2_impossible)} | analytics.QUERIES
+ORACLE = analytics.ORACLE | {
+    "p5_klines": """WITH r AS (SELECT k.series, epoch_ms(Open_time) // (interval_min * 60000) AS slot, interval_min * 60000 AS step FROM klines k JOIN feeds f ON k.series = f.series
+   WHERE Open_time IS NOT NULL AND "Close" IS NOT NULL AND NOT isnan("Close")), e AS (SELECT series, step, unnest(range(min(slot), max(slot) + 1)) AS slot FROM r GROUP BY series, step)
+  SELECT e.series, e.slot * e.step AS slot_ms, n.slot IS NULL AS is_missing FROM e LEFT JOIN (SELECT DISTINCT series, slot FROM r) n ON e.series = n.series AND e.slot = n.slot""",
+    "p2_impossible": """SELECT row_id, 'Close' AS field FROM klines WHERE isnan("Close") OR "Close" > 1e12 OR "Close" <= 0
+  UNION ALL SELECT row_id, 'Volume' FROM klines WHERE isnan(Volume) OR Volume > 1e13 OR Volume < 0""",
+}

@@ -12,8 +12,5 @@ def _s(text: str) -> T.StructType:
 
 
 CANDLE = _s("Open_time timestamp, Open double, High double, Low double, Close double, Volume double, Close_time bigint, Quote_volume string, Trades bigint, Taker_buy_base string, Taker_buy_quote string, Ignore string")
-FEATURE = _s("series string, tick bigint, Open_time timestamp, Close double, RSI_Scaled float, MACD_Scaled float, BB_Scaled float, OBV_Scaled float, ATR_Scaled float, MeanDev_Scaled float")
-TRANSITION = _s("episode_id bigint, tick bigint, state array<float>, action int, reward double")
 BANK = _s("row_id bigint, episode_id bigint, tick bigint, action bigint, mc_return float, state array<float>")
 BANK_CONFIG = _s("state_dim bigint, action_dim bigint, k bigint, max_size bigint, min_tick_gap bigint, n_commits bigint, n_prunes bigint, next_episode_id bigint, signal_threshold double, eps_dist double, max_weight_ratio double")
-TRACE = _s("series string, tick bigint, price double, action int, pnl double, side string, entry double, entry_tick bigint, unrealised double, shares array<double>, vote array<double>, margin double, state array<float>")
