@@ -12,6 +12,9 @@ DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 from tidemark.queries import ORACLE, QUERIES  # noqa: E402
 
 
+FILLED = {"p1_found", "p1_undeclared", "p2_found", "p5_found", "p5_grid", "random_baseline", "rolling_slope_all"}  # the smallest data give these rows
+
+
 @pytest.fixture(scope="module")
 def duck():
     duckdb = pytest.importorskip("duckdb")
@@ -46,8 +49,9 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
-    df = QUERIES[name](spark, DIR)
-    assert df.columns and df.count() >= 0
+    rows = QUERIES[name](spark, DIR).toPandas()
+    assert len(rows.columns)
+    assert name not in FILLED or len(rows) > 0, name
 
 
 def test_no_llm_import():

@@ -77,3 +77,17 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["series"], r["tick"]): (r["action"], round(r["pnl"], 12)) for r in run_stream(spark, positions(stream, momentum), "pos").collect()}
     want = {(r["series"], r["tick"]): (r["action"], round(r["pnl"], 12)) for r in fold(df, "series", momentum).collect()}
     assert got == want and len(got) == 240
+
+
+def test_master_merge_limit_and_guard(spark):
+    from tidemark.sources.candles import enough_rows, latest, merge_master
+
+    schema = "row_id bigint, series string, Open_time timestamp, ingest_time timestamp, Close double"
+    at = lambda h: datetime(2024, 1, 1, h)
+    old = spark.createDataFrame([(1, "a", at(0), at(1), 1.0), (2, "a", at(1), at(2), 2.0), (9, None, at(1), at(2), 9.0)], schema)
+    new = spark.createDataFrame([(3, "a", at(1), at(3), 2.5), (4, "a", at(2), None, 3.0), (5, "b", None, at(2), 3.0)], schema)
+    assert sorted((r["row_id"], r["Close"]) for r in merge_master(old, new).collect()) == [(1, 1.0), (3, 2.5), (4, 3.0)]
+    assert merge_master(old, new.limit(0)).count() == 2 and merge_master(old.limit(0), old.limit(0)).count() == 0
+    assert [r["row_id"] for r in latest(old.filter("series is not null"), 1).collect()] == [2]
+    f = spark.range(130).selectExpr("'a' as series", "id as tick").union(spark.range(129).selectExpr("'b'", "id"))
+    assert {r["series"] for r in enough_rows(f).collect()} == {"a"}

@@ -16,7 +16,7 @@ from tidemark.operators import returns as R
 from tidemark.operators import simulate as Z
 from tidemark.operators.timestamps import resolve_instants
 from tidemark.plans.blocks import ranked, running
-from tidemark.sources.candles import FIELDS, parse_klines
+from tidemark.sources.candles import FIELDS, enough_rows, merge_master, parse_klines
 from tidemark.storage import materialize, table
 
 QUERIES: dict = {}
@@ -101,6 +101,14 @@ def ohlc_4h(spark, d):
     return W.resample_ohlc(table(spark, d, "klines"), "Open_time", "4 hours").withColumn("bar", F.col("bar").cast("timestamp_ntz"))
 
 
+@query(f"""WITH b AS (SELECT series, time_bucket(INTERVAL 4 HOUR, Open_time) AS bar, arg_min("Open", (Open_time, row_id)) AS open, max(High) AS high, min(Low) AS low, arg_max("Close", (Open_time, row_id)) AS close, count(*) AS n
+  FROM klines WHERE {_OK} AND Open_time IS NOT NULL AND series IS NOT NULL GROUP BY ALL), g AS (SELECT series, unnest(generate_series(min(bar), max(bar), INTERVAL 4 HOUR)) AS bar FROM b GROUP BY series)
+  SELECT g.series, g.bar, open, high, low, close, coalesce(n, 0) AS n FROM g LEFT JOIN b ON g.series = b.series AND g.bar = b.bar""")
+def ohlc_4h_full(spark, d):
+    """Bars of four hours, empty ones too."""
+    return W.resample_ohlc(table(spark, d, "klines").filter("series is not null"), "Open_time", "4 hours", empty=True).withColumn("bar", F.col("bar").cast("timestamp_ntz"))
+
+
 @query(f"""WITH r AS (SELECT series, abs("Close" / lag("Close") OVER (PARTITION BY series ORDER BY tick) - 1) AS r FROM ({_SERIES}))
   SELECT series, round(quantile_cont(r, 0.5), 9) AS median_move, count(r) AS n, round(0.0003 / nullif(quantile_cont(r, 0.5), 0), 4) AS commission_ratio FROM r GROUP BY series""")
 def absolute_moves(spark, d):
@@ -183,6 +191,20 @@ def pace_states(spark, d):
     return rounded(rounded(x, 5, "current"), 4, "slope")
 
 
+@query("""SELECT row_id FROM klines WHERE series IS NOT NULL AND Open_time IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY series, Open_time ORDER BY coalesce(ingest_time, TIMESTAMP '0001-01-01') DESC, row_id DESC) = 1""")
+def master_rows(spark, d):
+    """A master table (rows whose id is even) and new candles (the others) merged: the last delivery of each candle."""
+    k = table(spark, d, "klines").select("row_id", "series", "Open_time", "ingest_time", "Close")
+    return merge_master(k.filter("row_id % 2 = 0"), k.filter("row_id % 2 <> 0 or row_id is null")).select("row_id")
+
+
+@query(f"""SELECT series, tick FROM ({_FEATURES}) QUALIFY count(*) OVER (PARTITION BY series) >= 130""")
+def guarded_features(spark, d):
+    """Complete rows of series that have rows enough."""
+    return enough_rows(_features(spark, d)).select("series", "tick")
+
+
 @query("""SELECT row_id, epoch_ms(Open_time) AS epoch_ms, strftime(Open_time, '%Y-%m-%d %H:%M') AS label, (epoch_ms(Open_time) // 60000) // 60 AS hours, (epoch_ms(Open_time) // 60000) % 60 AS minutes FROM klines WHERE Open_time IS NOT NULL""")
 def time_parts(spark, d):
     """epoch, text and quotient with remainder of a moment."""

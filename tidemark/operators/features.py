@@ -106,9 +106,16 @@ def open_loop_state(features: DataFrame, source: str = "series", tick: str = "ti
     return out.select(source, tick, F.concat(*[F.coalesce(f"_p{p}", zeros) for p in cfg.paces], F.array(F.lit(0.0), F.lit(0.0))).cast("array<float>").alias("state"))
 
 
-def resample_ohlc(df: DataFrame, at: str, width: str, source: str = "series", key: str = "row_id") -> DataFrame:
-    """Bars of a fixed width: first open, highest, lowest, last close, volume, rows. Unsound prices are left out."""
+def resample_ohlc(df: DataFrame, at: str, width: str, source: str = "series", key: str = "row_id", empty: bool = False) -> DataFrame:
+    """Bars of a fixed width: first open, highest, lowest, last close, rows. Unsound prices are left out.
+
+    empty: bars without rows between a source's first and last are listed, with null prices and 0 rows.
+    """
     ok = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ("Open", "High", "Low", "Close"))
     first = F.struct(at, key)
-    return (df.filter(ok).filter(F.col(at).isNotNull()).groupBy(source, F.window(F.col(at).cast("timestamp"), width)["start"].alias("bar"))
+    bars = (df.filter(ok).filter(F.col(at).isNotNull()).groupBy(source, F.window(F.col(at).cast("timestamp"), width)["start"].alias("bar"))
             .agg(F.min_by("Open", first).alias("open"), F.max("High").alias("high"), F.min("Low").alias("low"), F.max_by("Close", first).alias("close"), F.count("*").alias("n")))
+    if not empty:
+        return bars
+    grid = bars.groupBy(source).agg(F.min("bar").alias("_a"), F.max("bar").alias("_b")).select(source, F.explode(F.expr(f"sequence(_a, _b, interval {width})")).alias("bar"))
+    return grid.join(bars, [source, "bar"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))

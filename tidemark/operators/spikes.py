@@ -3,9 +3,10 @@
 Three judgements of each reading:
 
 * physical bounds: a plain filter on the scan;
-* a Hampel filter: the logarithm of a reading against the rolling medians of the
-  readings before and after it, in units of the source's usual moves (rolling median
-  absolute deviation). Far from both medians on the same side: it left the level and
+* a Hampel filter with two one-sided rolling medians in place of one around the reading, since one median can't tell
+  a spike from a move that stays: the logarithm of a reading against the medians of the readings before
+  and after it, in units of the source's usual moves (rolling median absolute deviation, from the median or, where levels wander,
+  from the reading before; at least as large as a 90 % quantile says, for prices on a coarse grid). Far from both medians on the same side: it left the level and
   came back. A move that stays lies near the later median, a fast slide lies between;
 * runs of equal readings whose length the source's own chance of a repeat can't explain.
 
@@ -183,7 +184,7 @@ def _limit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"series": [pdf["series"].iloc[0]], "field": [pdf["field"].iloc[0]], "limit": [float(limit)]})
 
 
-def implausible_readings(df: DataFrame, key: str, source: str, at: str, arrived: str, measures: tuple[Measure, ...] = (CLOSE, VOLUME), rows: int = 4096, margin: int = 128, bucket_us: int = 3_600_000_000 * 6) -> DataFrame:
+def implausible_readings(df: DataFrame, key: str, source: str, at: str, arrived: str, measures: tuple[Measure, ...] = (CLOSE, VOLUME), rows: int = 4096, margin: int = AROUND // 2 + SIDE + 1, bucket_us: int = 3_600_000_000 * 6) -> DataFrame:
     """``key, field, reason`` of each implausible reading; reason is impossible, spike or stuck.
 
     Two measures at most. Each row is judged by itself; rows of one source and moment are deliveries

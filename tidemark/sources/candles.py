@@ -7,11 +7,12 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark import schemas
+from tidemark.config import DEFAULT, EngineConfig
 
 FIELDS = [f.name for f in schemas.CANDLE]
 _DOUBLES = ("Open", "High", "Low", "Close", "Volume")
@@ -73,3 +74,26 @@ class CandleFiles(DataSource):
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(CandleFiles)
     return parse_klines(spark.read.format("candle_files").option("path", path).load(), "payload", "name")
+
+
+def latest(candles: DataFrame, limit: int, source: str = "series", at: str = "Open_time") -> DataFrame:
+    """The last ``limit`` candles of each source (the limit of a request)."""
+    rank = F.row_number().over(Window.partitionBy(source).orderBy(F.desc(at)))
+    return candles.withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r")
+
+
+def merge_master(master: DataFrame, fresh: DataFrame, source: str = "series", at: str = "Open_time", arrived: str = "ingest_time", key: str = "row_id") -> DataFrame:
+    """Master table and new candles, one row per source and moment: the one that arrived last, then the largest key.
+
+    Rows without a source or moment are left out; columns that one side lacks are null there. An empty side adds nothing.
+    """
+    both = master.unionByName(fresh, allowMissingColumns=True).filter(F.col(source).isNotNull() & F.col(at).isNotNull())
+    row = F.struct(*[F.col(c) for c in both.columns])
+    order = F.struct(F.coalesce(F.col(arrived).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")), F.col(key))
+    return both.groupBy(F.col(source).alias("_s"), F.col(at).alias("_t")).agg(F.max_by(row, order).alias("_row")).select("_row.*")
+
+
+def enough_rows(features: DataFrame, source: str = "series", cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Only sources with rows enough for a state after warm-up (warm-up + 2)."""
+    n = features.groupBy(source).agg(F.count("*").alias("_n")).filter(F.col("_n") >= cfg.warmup + 2).select(source)
+    return features.join(n, source, "left_semi")
