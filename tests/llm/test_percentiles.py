@@ -44,3 +44,14 @@ def test_bounded_error(spark):
 
 def test_empty(spark):
     assert percentiles(value_counts(table(spark, []), "g", "v")).count() == 0
+
+
+def test_the_bound_of_tiny_values_holds(spark):
+    from tidemark.llm.percentiles import percentiles, value_counts
+
+    values = [1e-35, -1e-33, 2e-31, 5e-30, 1.0, 3.0]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    for p in (0.01, 0.2, 0.34, 0.5, 0.67, 0.84, 1.0):
+        exact = percentiles(value_counts(df, "g", "v"), (p,)).first()["value"]
+        r = percentiles(value_counts(df, "g", "v", rel_error=0.05), (p,), 0.05).first()
+        assert abs(exact - r["value"]) <= r["error_bound"] and r["error_bound"] > 0, (p, exact, r)

@@ -35,6 +35,13 @@ def _bucket(v: Column, rel_error: float) -> Column:
     return F.when(F.abs(v) < SMALLEST, F.lit(0.0)).otherwise(F.signum(v) * F.pow(F.lit(gamma), size) * (2 / (1 + gamma)))
 
 
+def _bound(v: Column, rel_error: float) -> Column:
+    """How far the true value can lie from that of its bucket."""
+    if rel_error <= 0:
+        return F.lit(0.0)
+    return F.when(v == 0, F.lit(SMALLEST)).otherwise(F.abs(v) * rel_error / (1 - rel_error) * (1 + 1e-9))
+
+
 def value_counts(df: DataFrame, group: str, value: str, piece: Column | None = None, rel_error: float = 0.0) -> DataFrame:
     """The piece of a percentile: ``piece, grp, value, n``. Null, NaN and infinite values are left out; a null group is a group."""
     v = F.col(value).cast("double")
@@ -64,4 +71,4 @@ def percentiles(counts: DataFrame, ps: tuple[float, ...] = PERCENTILES, rel_erro
     running = some.withColumn("_sum", F.sum("n").over(Window.partitionBy("grp", "_part").orderBy("value")))
     w = wanted.select(F.col("grp").alias("_g"), F.col("_part").alias("_q"), "p", "_rank", "_before", "_all")
     hit = running.join(w, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_q"))).filter(F.col("_before") + F.col("_sum") >= F.col("_rank"))
-    return hit.groupBy("grp", "p").agg(F.min("value").alias("value"), F.max("_all").alias("n")).select("grp", "p", "value", (F.abs("value") * rel_error / (1 - rel_error)).alias("error_bound"), "n")
+    return hit.groupBy("grp", "p").agg(F.min("value").alias("value"), F.max("_all").alias("n")).select("grp", "p", "value", _bound(F.col("value"), rel_error).alias("error_bound"), "n")
