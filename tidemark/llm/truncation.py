@@ -43,6 +43,7 @@ BINS, FINEST = 50, 15_000  # p values are ranked by bins of a fiftieth of a powe
 #: A context that ends a sentence in at most this share (smoothed) goes on.
 ENDS = 0.03
 SALTS = 16
+TAIL = 200  # characters in which the signs of an ending lie
 
 _TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|%|[^\W\d_]+(?:['’\-][^\W\d_]+)*|[.!?…]+|[^\w\s]")
 _MARK = re.compile(r"\s*(?:\[\s*(?:more|\.\.\.|…|mehr|más|continued|truncated)\s*\]|\(\s*(?:cont(?:inued|\.)?|more|Forts\.|sigue)\s*\)|(?:read|see) more)\s*$", re.I)
@@ -88,7 +89,13 @@ def contexts(text: str) -> tuple[list[str], list[int]]:
 
 
 def ending(text: str) -> str:
-    """How a text ends: sentence, marked (omission stated), dots, structure, comma or open."""
+    """How a text ends: sentence, marked (omission stated), dots, structure, comma or open.
+
+    All signs of an ending are short, but for a link, which is the last word: no more is looked at than these.
+    """
+    text = text.rstrip()
+    if len(text) > TAIL:
+        text = text[min(len(text) - TAIL, len(text) - len(text.rsplit(None, 1)[-1])) :]
     if _MARK.search(text):
         return "marked"
     if _DOTS.search(text):
@@ -131,7 +138,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         body = np.full((n, 3), "", dtype=object)
         for i in range(n):
             if how[i] in ("marked", "dots"):
-                tail = contexts(_DOTS.sub("", _MARK.sub("", texts[i]))[-2000:])[0][-3:]
+                tail = contexts(_DOTS.sub("", _MARK.sub("", texts[i][-2000:])))[0][-3:]
             else:
                 tail = [names[j] for j in word[max(start[i], start[i + 1] - 3) : start[i + 1]]]
             if tail:
@@ -140,7 +147,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 how[i] = "number"
         blank = [None] * m
         out = {"key": [*pdf["_key"], *blank], "source": [*pdf["_source"], *blank], "chars": [*map(len, texts), *blank],
-               "bytes": [*(len(t.encode("utf-8", "surrogatepass")) for t in texts), *blank], "utf16": [*(len(t) + sum(ch > "\uffff" for ch in t) if not t.isascii() else len(t) for t in texts), *blank], "how": [*how, *blank]}
+               "bytes": [*(len(t.encode("utf-8", "surrogatepass")) for t in texts), *blank], "utf16": [*(len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in texts), *blank], "how": [*how, *blank]}
         for i, (name, v) in enumerate((("a", values // len(names) ** 2), ("b", values // len(names) % len(names)), ("c", values % len(names)))):
             out[name] = [*body[:, i], *lookup[v]]
         out |= {"ends": [*[None] * n, *ends.tolist()], "goes": [*[None] * n, *(seen - ends).tolist()], "counted": [*first.tolist(), *blank]}
