@@ -76,6 +76,8 @@ def test_verdicts_stay_when_the_corpus_is_delivered_ten_times(spark):
     many = [(10_000 * n + i, source, text, x) for n in range(10) for i, source, text, x in rows]
     got = {r["id"]: (r["is_cut"], r["kind"], r["at_limit"]) for r in judged(spark, many).collect()}
     assert {i % 10_000 for i in got} == set(once) and all(v == once[i % 10_000] for i, v in got.items())
+    same = [(r["id"], (r["is_cut"], r["kind"], r["at_limit"])) for r in judged(spark, rows * 10).collect()]  # under the same keys
+    assert len(same) == 6000 and all(v == once[i] for i, v in same)
 
 
 def test_kinds(spark):

@@ -109,13 +109,13 @@ def ending(text: str) -> str:
     return "open"
 
 
-_FIELDS = [T.StructField(n, T.StringType() if n in ("source", "how", "a", "b", "c") else T.BooleanType() if n == "counted" else T.LongType()) for n in ("source", "chars", "bytes", "utf16", "how", "a", "b", "c", "ends", "goes", "counted")]
+_FIELDS = [T.StructField(n, T.StringType() if n in ("source", "how", "a", "b", "c") else T.DoubleType() if n in ("ends", "goes", "weight") else T.LongType()) for n in ("source", "chars", "bytes", "utf16", "how", "a", "b", "c", "ends", "goes", "weight")]
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each text, and the counts of the contexts in texts seen for the first time."""
+    """A row for each text, and the counts of the contexts, in which a text weighs as much as it counts."""
     for pdf in batches:
-        texts, first = pdf["_text"].tolist(), pdf["_first"].to_numpy(dtype=bool)
+        texts, weight = pdf["_text"].tolist(), pdf["_weight"].to_numpy(dtype=float)
         own, word, after, names = _tokens(texts)
         how = [ending(t) for t in texts]
         start = np.searchsorted(own, np.arange(len(texts) + 1))
@@ -127,12 +127,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = np.arange(len(word)) - start[own] if len(word) else np.empty(0, dtype=np.int64)
         b = np.where(place >= 1, np.roll(word, 1), none)
         a = np.where(place >= 2, np.roll(word, 2), none)
-        use = (after >= 0) & first[own]
+        use = (after >= 0) & (weight[own] > 0)
         abc = np.stack([a[use], b[use], word[use]], axis=1)
         packed = (abc[:, 0] * len(names) + abc[:, 1]) * len(names) + abc[:, 2]
         values, at = np.unique(packed, return_inverse=True)
-        ends = np.bincount(at, weights=after[use], minlength=len(values)).astype(np.int64)
-        seen = np.bincount(at, minlength=len(values))
+        ends = np.bincount(at, weights=after[use] * weight[own[use]], minlength=len(values))
+        seen = np.bincount(at, weights=weight[own[use]], minlength=len(values))
         lookup = np.array(names, dtype=object)
         n, m = len(texts), len(values)
         body = np.full((n, 3), "", dtype=object)
@@ -150,18 +150,18 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                "bytes": [*(len(t.encode("utf-8", "surrogatepass")) for t in texts), *blank], "utf16": [*(len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in texts), *blank], "how": [*how, *blank]}
         for i, (name, v) in enumerate((("a", values // len(names) ** 2), ("b", values // len(names) % len(names)), ("c", values % len(names)))):
             out[name] = [*body[:, i], *lookup[v]]
-        out |= {"ends": [*[None] * n, *ends.tolist()], "goes": [*[None] * n, *(seen - ends).tolist()], "counted": [*first.tolist(), *blank]}
+        out |= {"ends": [*[None] * n, *ends.tolist()], "goes": [*[None] * n, *(seen - ends).tolist()], "weight": [*weight.tolist(), *blank]}
         yield pd.DataFrame(out, dtype=object)
 
 
 def significant_lengths(texts: DataFrame) -> DataFrame:
     """``source, unit, length, n, expected, dispersion, p, soft``: the lengths at which a source ends texts far more often than at their neighbours.
 
-    Rows have source, chars, bytes and utf16; each counts once. soft: the lengths just before it are raised as well, as the source
+    Rows have source, chars, bytes, utf16 and the weight with which they count. soft: the lengths just before it are raised as well, as the source
     cuts between words. Windows run over the lengths of a source, of which there are at most as many as its longest text has units.
     """
-    long = texts.select("source", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes", "utf16")])).alias("x")).select("source", "x.*")
-    counts = long.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
+    long = texts.filter("weight > 0").select("source", "weight", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes", "utf16")])).alias("x")).select("source", "weight", "x.*")
+    counts = long.groupBy("source", "unit", "length").agg(F.round(F.sum("weight"), 6).alias("n"))
     whole = Window.partitionBy("source", "unit")
     by = whole.orderBy("length")
     at = counts.withColumn("risk", F.sum("n").over(whole.orderBy(F.desc("length"))))
@@ -208,13 +208,18 @@ def significant_lengths(texts: DataFrame) -> DataFrame:
     return found.select("source", "unit", "length", "n", "expected", "dispersion", "p", soft.alias("soft"))
 
 
-def _with_first(src: DataFrame) -> DataFrame:
-    """Mark the first row (by key) of each text. Only hashes and keys are shuffled, and texts only if the repeats are too many to be sent to them."""
-    hashed = src.select("_key", F.xxhash64("_source", "_text").alias("_h"))
-    many = hashed.groupBy("_h").agg(F.count("*").alias("_n"), F.min("_key").alias("_least")).filter("_n > 1").select("_h", "_least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+def _weighed(src: DataFrame) -> DataFrame:
+    """Add ``_weight``: 1 for the first row (by key) of each text of a source and 0 for its repeats; rows alike in key and text share their 1.
+
+    Only hashes and keys are shuffled, and texts only if the repeats are too many to be sent to them.
+    """
+    src = src.withColumn("_h", F.xxhash64("_source", "_text"))
+    hashed = src.select("_key", "_h").groupBy("_h", "_key").agg(F.count("*").alias("_m"))
+    many = hashed.groupBy("_h").agg(F.sum("_m").alias("_n"), F.min(F.struct("_key", "_m")).alias("_x")).filter("_n > 1")
+    many = many.select("_h", F.col("_x._key").alias("_least"), F.col("_x._m").alias("_same"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = hashed.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
-    repeats = salted.join(many, ["_h", "_salt"]).filter("_key <> _least").select("_key").distinct().withColumn("_again", F.lit(True))
-    return src.join(repeats, "_key", "left").withColumn("_first", F.col("_again").isNull()).drop("_again")
+    repeats = salted.join(many, ["_h", "_salt"]).select("_h", "_key", F.when(F.col("_key") == F.col("_least"), 1.0 / F.col("_same")).otherwise(0.0).alias("_w"))
+    return src.join(repeats, ["_h", "_key"], "left").withColumn("_weight", F.coalesce("_w", F.lit(1.0))).drop("_w", "_h")
 
 
 def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -227,15 +232,15 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """
     src = df.select(F.col(key).alias("_key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
     kind = src.schema["_key"].dataType
-    seen = materialize(_with_first(src).mapInPandas(_scan, T.StructType([T.StructField("key", kind), *_FIELDS])), "endings")
+    seen = materialize(_weighed(src).mapInPandas(_scan, T.StructType([T.StructField("key", kind), *_FIELDS])), "endings")
     texts = seen.filter("how is not null").drop("ends", "goes")
     words = seen.filter("ends is not null")
 
-    hard = significant_lengths(texts.filter("counted")).select("source", "unit", "length", "soft")
+    hard = significant_lengths(texts).select("source", "unit", "length", "soft")
     limits = materialize(hard.select("source", "unit", F.explode(F.sequence(F.col("length") - F.when(F.col("soft"), SOFT).otherwise(1), F.col("length"))).alias("length")).distinct(), "limits")
     unsure = materialize(texts.filter("how <> 'sentence' and how <> 'structure'").select("a", "b", "c").distinct(), "unsure")
 
-    counts = materialize(words.join(unsure.select("c").distinct(), "c", "left_semi").groupBy("a", "b", "c").agg(F.sum("ends").alias("e"), F.sum(F.col("ends") + F.col("goes")).alias("n")), "contexts")
+    counts = materialize(words.join(unsure.select("c").distinct(), "c", "left_semi").groupBy("a", "b", "c").agg(F.round(F.sum("ends"), 6).alias("e"), F.round(F.sum(F.col("ends") + F.col("goes")), 6).alias("n")), "contexts")
 
     def level(keys: list[str], tag: str) -> DataFrame:
         return counts.join(unsure.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.sum("e").alias(f"e{tag}"), F.sum("n").alias(f"n{tag}"))
@@ -243,7 +248,7 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     # words of which a last word may be the beginning, after the word before it
     starts = F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substr(w, 1, i))"))
     beginnings = unsure.select("b", "c").distinct()
-    begun = (words.filter("length(c) > 1").join(unsure.select("b").distinct(), "b", "left_semi").groupBy("a", "b", F.col("c").alias("w")).agg(F.sum(F.col("ends") + F.col("goes")).alias("n"))
+    begun = (words.filter("length(c) > 1").join(unsure.select("b").distinct(), "b", "left_semi").groupBy("a", "b", F.col("c").alias("w")).agg(F.round(F.sum(F.col("ends") + F.col("goes")), 6).alias("n"))
              .select("a", "b", "n", starts.alias("c")).join(beginnings, ["b", "c"], "left_semi").groupBy("a", "b", "c").agg(F.sum("n").alias("l")))
     begun = materialize(begun, "beginnings")
 
@@ -251,7 +256,7 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     for keys, tag in ((["a", "b", "c"], "3"), (["b", "c"], "2"), (["c"], "1")):
         known = known.join(level(keys, tag), keys, "left")
     known = known.join(begun.withColumnRenamed("l", "l3"), ["a", "b", "c"], "left").join(begun.groupBy("b", "c").agg(F.sum("l").alias("l2")), ["b", "c"], "left")
-    finals = texts.filter("how = 'open' and counted").groupBy("c").agg(F.count("*").alias("f1"))  # habits: a last word of many texts
+    finals = texts.filter("how = 'open'").groupBy("c").agg(F.round(F.sum("weight"), 6).alias("f1"))  # habits: a last word of many texts
     known = known.join(finals, "c", "left").na.fill(0)
     goes_on = F.expr(f"""CASE WHEN c = '' THEN null
         WHEN (n3 + 0.5) / (n3 + l3 + 1) <= 0.1 THEN true
@@ -271,8 +276,8 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         judged = judged.join(at, ["source", unit], "left")
     judged = judged.withColumn("at_limit", F.coalesce("_chars", "_bytes", "_utf16", F.lit(False)))
     # an omission mark after words that many texts elsewhere end in this way is style
-    outside = F.count_if(~F.col("at_limit"))
-    habit = judged.filter("how = 'dots' and counted").groupBy("b", "c").agg((outside / (F.count("*") + 1) > 0.6).alias("style"))
+    outside = F.round(F.sum(F.when(~F.col("at_limit"), F.col("weight")).otherwise(0.0)), 6)
+    habit = judged.filter("how = 'dots'").groupBy("b", "c").agg((outside / (F.round(F.sum("weight"), 6) + 1) > 0.6).alias("style"))
     judged = judged.join(habit, ["b", "c"], "left").withColumn("style", F.coalesce("style", F.lit(False)))
     by_limit = F.expr("at_limit AND CASE how WHEN 'sentence' THEN false WHEN 'structure' THEN false WHEN 'number' THEN coalesce(never, false) WHEN 'dots' THEN coalesce(goes_on, false) OR NOT style ELSE true END")
     in_transfer = F.coalesce(F.expr("CASE how WHEN 'marked' THEN true WHEN 'comma' THEN true WHEN 'dots' THEN goes_on AND seen WHEN 'open' THEN goes_on END"), F.lit(False))
