@@ -40,23 +40,26 @@ def with_splits(df: DataFrame, at: str, cfg: EngineConfig = DEFAULT) -> DataFram
     return df.withColumn("split", F.explode(split_labels(F.year(at), cfg)))
 
 
-def _deviation(values: list[Column], cfg: EngineConfig) -> Column:
-    """Distance of the first value from the mean of all that aren't null, in their standard deviations; two passes, so nearly equal values keep their digits."""
-    here = [F.coalesce(v, F.lit(0.0)) for v in values]
-    n = reduce(add, [F.when(v.isNotNull(), 1.0).otherwise(0.0) for v in values])
-    mean = reduce(add, here) / n
-    spread = reduce(add, [F.when(v.isNotNull(), (v - mean) * (v - mean)).otherwise(0.0) for v in values]) / n
-    return (values[0] - mean) / (F.sqrt(spread) + cfg.slope_eps)
+def _with_slopes(df: DataFrame, lags: dict[str, list[str]], cfg: EngineConfig) -> DataFrame:
+    """Add a column per name: the distance of the first of its columns from the mean of those that aren't null, in their standard deviations.
+
+    Two passes, so nearly equal values keep their digits; counts and means are columns of their own, so that no expression holds them many times.
+    """
+    here = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    df = df.withColumns({f"_n_{o}": reduce(add, [F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0) for c in cs]) for o, cs in lags.items()})
+    df = df.withColumns({f"_m_{o}": reduce(add, [here(c) for c in cs]) / F.col(f"_n_{o}") for o, cs in lags.items()})
+    off = lambda o, c: F.coalesce(F.col(c) - F.col(f"_m_{o}"), F.lit(0.0))
+    df = df.withColumns({o: (F.col(cs[0]) - F.col(f"_m_{o}")) / (F.sqrt(reduce(add, [off(o, c) * off(o, c) for c in cs]) / F.col(f"_n_{o}")) + cfg.slope_eps) for o, cs in lags.items()})
+    return df.drop(*[f"{p}_{o}" for o in lags for p in ("_n", "_m")])
 
 
 def slopes(df: DataFrame, columns: list[str], source: str = "series", tick: str = "tick", cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``<column>_slope``: distance of a value from the mean of the last samples, in their standard deviations. Values aren't null."""
     near, w = neighbourhood(df, source, tick, cfg.history - 1)
-    for c in columns:
-        x = F.col(c).cast("double")
-        near = near.withColumns({f"_l{j}": F.lag(x, j).over(w) for j in range(cfg.history)})
-        near = near.withColumn(f"{c}_slope", _deviation([F.col(f"_l{j}") for j in range(cfg.history)], cfg)).drop(*[f"_l{j}" for j in range(cfg.history)])
-    return near.filter("_own").drop("_blk", "_own")
+    lags = {f"{c}_slope": [f"_l{i}_{j}" for j in range(cfg.history)] for i, c in enumerate(columns)}
+    near = near.withColumns({n: F.lag(F.col(c).cast("double"), j).over(w) for c, names in zip(columns, lags.values()) for j, n in enumerate(names)})
+    near = _with_slopes(near, lags, cfg)
+    return near.filter("_own").drop("_blk", "_own", *[n for names in lags.values() for n in names])
 
 
 def rolling_mean(df: DataFrame, value: str, width: int, out: str, source: str = "series", tick: str = "tick") -> DataFrame:
@@ -85,7 +88,8 @@ def pace_samples(features: DataFrame, pace: int, source: str = "series", tick: s
     lags = {f"_{c}{j}": F.coalesce(F.lag(F.col(c).cast("double"), j).over(w), F.lit(0.0)) for c in cfg.features for j in range(h)}  # rows before the first count as zeros
     near = near.withColumns(lags)
     current = [F.col(f"_{c}0") for c in cfg.features]
-    slope = [_deviation([F.col(f"_{c}{j}") for j in range(h)], cfg) for c in cfg.features]
+    near = _with_slopes(near, {f"_{c}_slope": [f"_{c}{j}" for j in range(h)] for c in cfg.features}, cfg)
+    slope = [F.col(f"_{c}_slope") for c in cfg.features]
     near = near.withColumn("current", F.array(*current)).withColumn("slope", F.array(*slope))
     return near.filter("_own").select(source, F.col(tick).alias("sampled"), "current", "slope")
 
