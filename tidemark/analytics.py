@@ -702,7 +702,7 @@ def momentum(state, mask):
 
 
 def _trace(spark, d) -> DataFrame:
-    f = _features(spark, d)
+    f = materialize(_features(spark, d), "features")  # read by every pace
     return Z.fold(W.open_loop_state(f).join(f.select("series", "tick", "Close", "ATR_Scaled"), ["series", "tick"]), "series", Z.memory_policy(table(spark, d, "memory_bank")))
 
 

@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CLOSE, DEFAULT, HOLD, LONG, SHORT, EngineConfig
+from tidemark.operators.candidates import TICKS, Candidates
+
+WINDOW = 8  # ticks looked at ahead, as if the position stayed
 
 
 class Policy(Protocol):
@@ -86,8 +89,9 @@ class BankPolicy:
     """Vote of the k nearest rows, by distance, then position, of a bank of bounded size (``bank_cap``); an empty bank holds.
 
     Rows without a finite return or with an action below 0 are neighbours that don't vote. With a gap, rows of the
-    episode nearer in ticks are left out, unless that leaves none. ``ahead`` takes the market parts of the next states, whose
-    distances are then made in one product; only the portfolio's two dimensions remain for each tick.
+    episode nearer in ticks are left out, unless that leaves none. Without one, ``candidates`` are sought for the market parts of the next
+    states and ``looks`` compares them alone. With one, ``ahead`` takes these parts, whose distances to all rows are then made in one
+    product; only the portfolio's two dimensions remain for each tick.
     """
 
     def __init__(self, states: np.ndarray, actions: np.ndarray, returns: np.ndarray, k: int = DEFAULT.k, cfg: EngineConfig = DEFAULT, episodes: np.ndarray | None = None, ticks: np.ndarray | None = None):
@@ -99,7 +103,7 @@ class BankPolicy:
         self.valid, self.norm = valid, (self.states**2).sum(1)
         self.episodes, self.ticks = episodes, ticks
         self.market, self.part, self.own = None, None, None
-        self.seen: tuple = (None, None, None)
+        self.sought: Candidates | None = None
 
     @property
     def chunk(self) -> int:
@@ -135,6 +139,31 @@ class BankPolicy:
         ret, top = self.weight[near][self.valid[near]], np.sort(vote)
         return Look(vote, float(top[-1] - top[-2]), *((float(ret.mean()), float(ret.std())) if len(ret) else (0.0, 0.0)))
 
+    def candidates(self, market: np.ndarray) -> list[np.ndarray]:
+        """For the market parts of states, the rows of the bank that can be among the nearest, whatever the portfolio."""
+        if self.sought is None:
+            self.sought = Candidates(self.states, self.k, self.cfg.pnl_clip)
+        return self.sought.of(market)
+
+    def looks(self, states: np.ndarray, near: list[np.ndarray]) -> list[Look]:
+        """``look`` of several states, each among its candidates."""
+        h, n, states = len(states), min(self.k, len(self.states)), states.astype(np.float64)
+        size = np.array([len(c) for c in near])
+        held = np.arange(size.max()) < size[:, None]
+        rows = np.zeros(held.shape, dtype=np.int64)
+        rows[held] = np.concatenate(near)
+        dist = np.where(held, np.sqrt(((self.states[rows] - states[:, None]) ** 2).sum(2)), np.inf)
+        first = np.argsort(dist, axis=1, kind="stable")[:, :n]  # candidates lie in order of position
+        rows, dist = np.take_along_axis(rows, first, 1), np.take_along_axis(dist, first, 1)
+        w = 1 / (dist + self.cfg.eps_dist)
+        w = np.minimum(w, self.cfg.weight_cap * (np.median(w, axis=1)[:, None] + self.cfg.eps))
+        vote = np.bincount((4 * np.arange(h)[:, None] + self.voted[rows]).ravel(), weights=(w * self.weight[rows]).ravel(), minlength=4 * h).reshape(h, 4)
+        margin, ok, ret = np.diff(np.sort(vote, axis=1), axis=1)[:, -1], self.valid[rows], self.weight[rows]
+        some = np.maximum(1, ok.sum(1))
+        mean = ret.sum(1) / some  # a row that doesn't vote has weight 0
+        std = np.sqrt((np.where(ok, ret - mean[:, None], 0.0) ** 2).sum(1) / some)
+        return [Look(*x) for x in zip(vote, margin.tolist(), mean.tolist(), std.tolist())]
+
     def choose(self, look: Look, mask: np.ndarray) -> tuple[int, np.ndarray]:
         if not len(self.states):
             return HOLD, np.eye(4)[HOLD]
@@ -169,8 +198,11 @@ class Memory:
 
     def policy(self) -> BankPolicy:
         if self.made is None:
-            states, actions, gains, episodes, ticks = self.shared.value
-            self.made = BankPolicy(states, actions, gains, self.k, self.cfg, episodes, ticks)
+            kept = vars(self.shared).setdefault("_policies", {})  # a worker's tasks share one broadcast
+            if (self.k, self.cfg) not in kept:
+                states, actions, gains, episodes, ticks = self.shared.value
+                kept[self.k, self.cfg] = BankPolicy(states, actions, gains, self.k, self.cfg, episodes, ticks)
+            self.made = kept[self.k, self.cfg]
         return self.made
 
     def __call__(self, state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
@@ -181,9 +213,14 @@ def memory_policy(bank: DataFrame, k: int | None = None, cfg: EngineConfig = DEF
     """``BankPolicy`` over ``memory_rows`` in order of row_id; what travels to the tasks is bounded by the cap."""
     rows = memory_rows(bank, cfg)
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
-    pdf = rows.select("row_id", F.coalesce(F.col("action").cast("int"), F.lit(-1)).alias("action"), number("mc_return"), number("episode_id"), number("tick"), F.col("state").cast("array<float>").alias("state")).toPandas().sort_values("row_id")
-    states = np.stack(pdf["state"].to_numpy()).astype(np.float32) if len(pdf) else np.zeros((0, cfg.state_dim), np.float32)
-    shared = bank.sparkSession.sparkContext.broadcast((states, pdf["action"].to_numpy(dtype=np.int64), *(pdf[c].to_numpy(dtype=float) for c in ("mc_return", "episode_id", "tick"))))
+    # as arrays throughout: rows of pandas take the driver several times their size
+    t = rows.select("row_id", F.coalesce(F.col("action").cast("int"), F.lit(-1)).alias("action"), number("mc_return"), number("episode_id"), number("tick"), F.col("state").cast("array<float>").alias("state")).toArrow()
+    order = np.argsort(t["row_id"].to_numpy(), kind="stable")
+    of = lambda c, kind: t[c].to_numpy().astype(kind)[order]
+    states = t["state"].combine_chunks().flatten().to_numpy().reshape(-1, cfg.state_dim)[order]
+    rest = of("action", np.int64), *(of(c, float) for c in ("mc_return", "episode_id", "tick"))
+    del t
+    shared = bank.sparkSession.sparkContext.broadcast((states, *rest))
     return Memory(shared, k or cfg.k, cfg)
 
 
@@ -229,29 +266,50 @@ def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: Engine
         market = np.stack(pdf["state"].to_numpy()).astype(np.float64)
         at: dict = {}
         mine = float(pdf[number].iloc[0]) if number else None
+        price_at = pdf["Close"].to_numpy(dtype=float)
+        quick = seen and len(bank.states) > 0 and mine is None and bool(np.isfinite(market).all())  # no rows are left out by time
+        near: list = []
+        ahead: dict = {}  # tick: the portfolio's part of its state and the look, if the position stays
+
+        def look(state: np.ndarray) -> Look:
+            if not quick:
+                return bank.look(state, at["i"], mine, at["tick"])
+            i, q = at["row"], at["before"]
+            if i not in ahead or not np.array_equal(ahead[i][0], state[-2:]):
+                stop = min(i + WINDOW, i - at["i"] + len(near))
+                own = np.array([[{"LONG": 1.0, "SHORT": -1.0}.get(q.side, 0.0), unrealised(q, x, cfg)] for x in price_at[i:stop].tolist()])
+                states = np.concatenate([market[i:stop, :-2], own], axis=1).astype(np.float32)
+                ahead.clear()
+                ahead.update((i + j, (o, x)) for j, (o, x) in enumerate(zip(states[:, -2:], bank.looks(states, near[at["i"] : at["i"] + stop - i]))))
+            return ahead[i][1]
 
         def vote(state: np.ndarray, mask: np.ndarray) -> tuple[int, np.ndarray]:
-            at["look"] = at["look"] or bank.look(state, at["i"], mine, at["tick"])
+            at["look"] = at["look"] or look(state)
             return bank.choose(at["look"], mask)
 
         act = explore(vote if seen else policy, epsilon, rng)
-        size = bank.chunk if seen and len(bank.states) else len(pdf)
+        size = TICKS if quick else bank.chunk if seen and len(bank.states) else len(pdf)
         for i, (tick, price, atr) in enumerate(zip(pdf["tick"].tolist(), pdf["Close"].tolist(), pdf["ATR_Scaled"].tolist())):
-            if seen and len(bank.states) and i % size == 0:
+            if quick and i % size == 0:
+                near = bank.candidates(market[i : i + size, :-2])
+            elif seen and len(bank.states) and i % size == 0:
                 bank.ahead(market[i : i + size])
-            at.update(look=None, i=i % size, tick=int(tick))
+            at.update(look=None, i=i % size, row=i, tick=int(tick), before=p)
             before = p
             p, row = advance(p, int(tick), float(price), float(atr), market[i], act, cfg)
             row = {episode: name, "tick": tick, "price": price, **row}
             if seen:
                 state = np.concatenate([market[i, :-2], [{"LONG": 1.0, "SHORT": -1.0}.get(before.side, 0.0), row["unrealised"]]]).astype(np.float32)
-                look = at["look"] or bank.look(state, i % size, mine, int(tick))
-                row |= {"vote": look.vote.tolist(), "margin": look.margin, "ret_mean": look.ret_mean, "ret_std": look.ret_std, "state": state, "reward": shaped(row["pnl"], p.side, cfg)}
+                says = at["look"] or look(state)
+                row |= {"vote": says.vote.tolist(), "margin": says.margin, "ret_mean": says.ret_mean, "ret_std": says.ret_std, "state": state, "reward": shaped(row["pnl"], p.side, cfg)}
             out.append(row)
         return pd.DataFrame(out, columns=names).astype({"entry": float})
 
     kind = dict(states.dtypes)[episode]
-    return states.select(episode, "tick", F.col("Close").cast("double"), F.col("ATR_Scaled").cast("double"), "state", *([number] if number else [])).groupBy(episode).applyInPandas(run, f"{episode} {kind}, {_OUT}" + (_SEEN if seen else ""))
+    rows = states.select(episode, "tick", F.col("Close").cast("double"), F.col("ATR_Scaled").cast("double"), "state", *([number] if number else []))
+    if seen:  # their work counts, not their bytes, by which partitions would be joined
+        rows = rows.repartition(8 * int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), episode)
+    return rows.groupBy(episode).applyInPandas(run, f"{episode} {kind}, {_OUT}" + (_SEEN if seen else ""))
 
 
 def trades_of(trace: DataFrame, episode: str) -> DataFrame:
