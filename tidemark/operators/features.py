@@ -101,13 +101,14 @@ def open_loop_state(features: DataFrame, source: str = "series", tick: str = "ti
     no more rows than the warm-up has no state.
     """
     out = features.filter(F.col(tick) > cfg.warmup).select(source, tick)
-    for p in cfg.paces:
+    for p in sorted(cfg.paces, reverse=True):  # the pace of every tick comes last: its join leaves the rows where those of ``source`` and ``tick`` meet
         off = F.col(tick) - cfg.warmup
         last = F.when(off >= p, F.col(tick) - off % p).otherwise(F.lit(cfg.warmup - p))
-        samples = pace_samples(features, p, source, tick, cfg).select(source, F.col("sampled").alias("_s"), F.concat("current", "slope").alias(f"_p{p}"))
-        out = out.withColumn("_s", last.cast("bigint")).join(samples, [source, "_s"], "left").drop("_s")
-    zeros = F.array(*[F.lit(0.0)] * (2 * len(cfg.features)))
-    return out.select(source, tick, F.concat(*[F.coalesce(f"_p{p}", zeros) for p in cfg.paces], F.array(F.lit(0.0), F.lit(0.0))).cast("array<float>").alias("state"))
+        key = "_s" if p > 1 else tick
+        samples = pace_samples(features, p, source, tick, cfg).select(source, F.col("sampled").alias(key), F.concat("current", "slope").cast("array<float>").alias(f"_p{p}"))
+        out = (out.withColumn("_s", last.cast("bigint")) if p > 1 else out).join(samples, [source, key], "left").drop("_s")
+    zeros = F.array(*[F.lit(0.0)] * (2 * len(cfg.features))).cast("array<float>")
+    return out.select(source, tick, F.concat(*[F.coalesce(f"_p{p}", zeros) for p in cfg.paces], F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>")).alias("state"))
 
 
 def resample_ohlc(df: DataFrame, at: str, width: str, source: str = "series", key: str = "row_id", empty: bool = False) -> DataFrame:
