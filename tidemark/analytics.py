@@ -701,9 +701,10 @@ def momentum(state, mask):
     return action, np.eye(4)[action]
 
 
-def _trace(spark, d) -> DataFrame:
+def _trace(spark, d, *keep: str) -> DataFrame:
+    """The trace of all series, with the columns named (all if none)."""
     f = materialize(_features(spark, d), "features")  # read by every pace
-    return Z.fold(W.open_loop_state(f).join(f.select("series", "tick", "Close", "ATR_Scaled"), ["series", "tick"]), "series", Z.memory_policy(table(spark, d, "memory_bank")))
+    return Z.fold(W.open_loop_state(f).join(f.select("series", "tick", "Close", "ATR_Scaled"), ["series", "tick"]), "series", Z.memory_policy(table(spark, d, "memory_bank")), keep=keep or None)
 
 
 @query()
@@ -756,4 +757,4 @@ def policy_health(spark, d):
 @query()
 def trace_metrics(spark, d):
     """ST13: gain, trades and action counts of each series' pass."""
-    return Z.epoch_metrics(_trace(spark, d), ["series"])
+    return Z.epoch_metrics(_trace(spark, d, "action", "pnl"), ["series"])

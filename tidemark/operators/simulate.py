@@ -21,6 +21,8 @@ from tidemark.config import CLOSE, DEFAULT, HOLD, LONG, SHORT, EngineConfig
 from tidemark.operators.candidates import TICKS, Candidates
 
 WINDOW = 8  # ticks looked at ahead, as if the position stayed
+FLAT = 64  # ticks looked at ahead without a position
+PAIRS = 1 << 18  # of tick and candidate compared at once
 
 
 class Policy(Protocol):
@@ -53,16 +55,15 @@ def settle(p: Position, price: float, cfg: EngineConfig = DEFAULT) -> float:
     return (p.entry - price * (1 + cfg.commission)) / p.entry
 
 
-def advance(p: Position, tick: int, price: float, volatility: float, market: np.ndarray, policy: Policy, cfg: EngineConfig = DEFAULT) -> tuple[Position, dict]:
-    """One tick: volatility gate, forced exit, else the policy; then the action is carried out."""
-    open_gain = unrealised(p, price, cfg)
-    state = np.concatenate([market[:-2], [{"LONG": 1.0, "SHORT": -1.0}.get(p.side, 0.0), open_gain]]).astype(np.float32)
-    if p.side is None and abs(volatility) > cfg.atr_gate:
-        action, shares = HOLD, np.eye(4)[HOLD]
-    elif p.side is not None and (open_gain <= cfg.stop_loss or tick - p.entry_tick >= cfg.max_hold):
-        action, shares = CLOSE, np.eye(4)[CLOSE]
-    else:
-        action, shares = policy(state, mask_of(p))
+def forced(p: Position, tick: int, volatility: float, open_gain: float, cfg: EngineConfig = DEFAULT) -> int | None:
+    """The action of a tick that the policy isn't asked for: volatility gate, stop loss, longest hold."""
+    if p.side is None:
+        return HOLD if abs(volatility) > cfg.atr_gate else None
+    return CLOSE if open_gain <= cfg.stop_loss or tick - p.entry_tick >= cfg.max_hold else None
+
+
+def carried(p: Position, tick: int, price: float, action: int, cfg: EngineConfig = DEFAULT) -> tuple[Position, float]:
+    """The position after an action, and the gain it settles."""
     pnl, after = 0.0, p
     if action in (LONG, SHORT):
         wanted = "LONG" if action == LONG else "SHORT"
@@ -72,6 +73,18 @@ def advance(p: Position, tick: int, price: float, volatility: float, market: np.
             after = Position(wanted, price * (1 + cfg.commission if action == LONG else 1 - cfg.commission), tick)
     elif action == CLOSE and p.side is not None:
         pnl, after = settle(p, price, cfg), Position()
+    return after, pnl
+
+
+def advance(p: Position, tick: int, price: float, volatility: float, market: np.ndarray, policy: Policy, cfg: EngineConfig = DEFAULT) -> tuple[Position, dict]:
+    """One tick: volatility gate, forced exit, else the policy; then the action is carried out."""
+    open_gain = unrealised(p, price, cfg)
+    state = np.concatenate([market[:-2], [{"LONG": 1.0, "SHORT": -1.0}.get(p.side, 0.0), open_gain]]).astype(np.float32)
+    if (action := forced(p, tick, volatility, open_gain, cfg)) is not None:
+        shares = np.eye(4)[action]
+    else:
+        action, shares = policy(state, mask_of(p))
+    after, pnl = carried(p, tick, price, action, cfg)
     return after, {"action": int(action), "pnl": float(pnl), "side": after.side, "entry": after.entry if after.side else None, "entry_tick": after.entry_tick if after.side else None, "unrealised": open_gain, "shares": [float(x) for x in shares]}
 
 
@@ -102,6 +115,7 @@ class BankPolicy:
         self.voted, self.weight = np.where(valid, actions, 0).astype(np.int64), np.where(valid, returns, 0.0)
         self.valid, self.norm = valid, (self.states**2).sum(1)
         self.episodes, self.ticks = episodes, ticks
+        self.mine = np.ascontiguousarray(self.states[:, -2:])
         self.market, self.part, self.own = None, None, None
         self.sought: Candidates | None = None
 
@@ -130,7 +144,7 @@ class BankPolicy:
                 d2 = np.where(away, np.inf, d2)
         n = min(self.k, int(np.isfinite(d2).sum()))
         near = np.nonzero(d2 <= np.partition(d2, n - 1)[n - 1] + slack)[0]  # rounding must not decide ties
-        dist = np.sqrt(((self.states[near] - state) ** 2).sum(1))
+        dist = np.sqrt(self.base(near, state[:-2]) + ((self.states[near, -2:] - state[-2:]) ** 2).sum(1))
         first = np.lexsort((near, dist))[:n]
         near, dist = near[first], dist[first]
         w = 1 / (dist + self.cfg.eps_dist)
@@ -139,30 +153,57 @@ class BankPolicy:
         ret, top = self.weight[near][self.valid[near]], np.sort(vote)
         return Look(vote, float(top[-1] - top[-2]), *((float(ret.mean()), float(ret.std())) if len(ret) else (0.0, 0.0)))
 
+    def base(self, rows: np.ndarray, market: np.ndarray) -> np.ndarray:
+        """Squared distances of rows from a market part, or from one each."""
+        return ((self.states[rows, :-2] - market) ** 2).sum(1)
+
+    def bases(self, market: np.ndarray, near: list[np.ndarray]) -> list[np.ndarray]:
+        """``base`` of the candidates of each tick."""
+        sizes, out, lo = np.array([len(c) for c in near]), [], 0
+        while lo < len(near):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), PAIRS, side="right")))
+            y = np.repeat(market[lo:hi], sizes[lo:hi], axis=0)
+            out += np.split(self.base(np.concatenate(near[lo:hi]), y), np.cumsum(sizes[lo:hi])[:-1])
+            lo = hi
+        return out
+
     def candidates(self, market: np.ndarray) -> list[np.ndarray]:
         """For the market parts of states, the rows of the bank that can be among the nearest, whatever the portfolio."""
         if self.sought is None:
             self.sought = Candidates(self.states, self.k, self.cfg.pnl_clip)
         return self.sought.of(market)
 
-    def looks(self, states: np.ndarray, near: list[np.ndarray]) -> list[Look]:
-        """``look`` of several states, each among its candidates."""
-        h, n, states = len(states), min(self.k, len(self.states)), states.astype(np.float64)
+    def looks(self, states: np.ndarray, near: list[np.ndarray], base: list[np.ndarray] | None = None) -> list[Look]:
+        """``look`` of several states, each among its candidates. base: those of the candidates, if known."""
+        states = states.astype(np.float64)
+        vote, margin, mean, std = self._looks(states[:, -2:], near, self.bases(states[:, :-2], near) if base is None else base)
+        return [Look(*x) for x in zip(vote, margin.tolist(), mean.tolist(), std.tolist())]
+
+    def _looks(self, own: np.ndarray, near: list[np.ndarray], base: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        h, n = len(own), min(self.k, len(self.states))
         size = np.array([len(c) for c in near])
         held = np.arange(size.max()) < size[:, None]
-        rows = np.zeros(held.shape, dtype=np.int64)
-        rows[held] = np.concatenate(near)
-        dist = np.where(held, np.sqrt(((self.states[rows] - states[:, None]) ** 2).sum(2)), np.inf)
+        rows, dist = np.zeros(held.shape, dtype=np.int64), np.full(held.shape, np.inf)
+        rows[held], dist[held] = np.concatenate(near), np.concatenate(base)
+        dist = np.sqrt(dist + ((self.mine[rows] - own[:, None]) ** 2).sum(2))
         first = np.argsort(dist, axis=1, kind="stable")[:, :n]  # candidates lie in order of position
         rows, dist = np.take_along_axis(rows, first, 1), np.take_along_axis(dist, first, 1)
         w = 1 / (dist + self.cfg.eps_dist)
         w = np.minimum(w, self.cfg.weight_cap * (np.median(w, axis=1)[:, None] + self.cfg.eps))
-        vote = np.bincount((4 * np.arange(h)[:, None] + self.voted[rows]).ravel(), weights=(w * self.weight[rows]).ravel(), minlength=4 * h).reshape(h, 4)
-        margin, ok, ret = np.diff(np.sort(vote, axis=1), axis=1)[:, -1], self.valid[rows], self.weight[rows]
+        ok, ret = self.valid[rows], self.weight[rows]
+        vote = np.bincount((4 * np.arange(h)[:, None] + self.voted[rows]).ravel(), weights=(w * ret).ravel(), minlength=4 * h).reshape(h, 4)
+        margin = np.diff(np.sort(vote, axis=1), axis=1)[:, -1]
         some = np.maximum(1, ok.sum(1))
         mean = ret.sum(1) / some  # a row that doesn't vote has weight 0
         std = np.sqrt((np.where(ok, ret - mean[:, None], 0.0) ** 2).sum(1) / some)
-        return [Look(*x) for x in zip(vote, margin.tolist(), mean.tolist(), std.tolist())]
+        return vote, margin, mean, std
+
+    def chosen(self, vote: np.ndarray, mask: np.ndarray) -> tuple[list, np.ndarray]:
+        """``choose`` for several votes under one mask."""
+        f = np.where(mask, vote, 0.0)
+        s = np.where(mask, f - f.min(1)[:, None] + self.cfg.eps, 0.0)
+        total = s.sum(1)[:, None]
+        return np.where(mask, vote, -np.inf).argmax(1).tolist(), np.where(total > 0, s / np.where(total > 0, total, 1.0), 0.25)
 
     def choose(self, look: Look, mask: np.ndarray) -> tuple[int, np.ndarray]:
         if not len(self.states):
@@ -245,16 +286,81 @@ def shaped(pnl: float, side: str | None, cfg: EngineConfig = DEFAULT) -> float:
     return pnl + (pnl * cfg.bonus if pnl > cfg.bonus_above else 0.0) - (cfg.hold_cost if side is not None and pnl == 0.0 else 0.0)
 
 
-def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: EngineConfig = DEFAULT, epsilon: float = 0.0, seed: int = 0, number: str | None = None) -> DataFrame:
+_FLAT, _HELD = mask_of(Position()), mask_of(Position("LONG"))
+
+
+def traced(bank: BankPolicy, market: np.ndarray, ticks: np.ndarray, prices: np.ndarray, volatility: np.ndarray, wanted: list[str], cfg: EngineConfig = DEFAULT) -> dict:
+    """The wanted columns of the trace of one episode, in order of ticks, by the candidates of a bank.
+
+    What the bank says without a position is known for many ticks at once; with one, for the next ticks as if it stayed.
+    """
+    n, p = len(ticks), Position()
+    says = any(c in wanted for c in ("vote", "margin", "ret_mean", "ret_std"))  # of ticks that it isn't asked for, too
+    entered = {"LONG": 1.0, "SHORT": -1.0}
+    action, side, gate = np.empty(n, dtype=np.int64), np.empty(n, dtype=object), volatility.tolist()
+    entry, entry_tick, pnl, gain, own = np.full(n, np.nan), [None] * n, np.zeros(n), np.zeros(n), np.zeros((n, 2))
+    shares, seen = np.zeros((n, 4)), [np.zeros((n, 4)), *np.zeros((3, n))]
+    tick_at, price_at = ticks.tolist(), prices.tolist()
+    near: list = []
+    base: list = []
+    held = flat = (0, 0, None, None, None)  # first and last tick, looks, actions, shares
+
+    def looks(lo: int, hi: int, start: int, q: Position) -> tuple:
+        mine = np.array([[entered.get(q.side, 0.0), unrealised(q, x, cfg)] for x in price_at[lo:hi]]).astype(np.float32).astype(np.float64)
+        x = bank._looks(mine, near[lo - start : hi - start], base[lo - start : hi - start])
+        return (lo, hi, x, *bank.chosen(x[0], _FLAT if q.side is None else _HELD))
+
+    for i in range(n):
+        if i % TICKS == 0:
+            start, stop = i, min(n, i + TICKS)
+            near = bank.candidates(market[start:stop, :-2])
+            base = bank.bases(market[start:stop, :-2].astype(np.float32).astype(np.float64), near)
+            held = flat = (0, 0, None, None, None)
+        tick, price, before = tick_at[i], price_at[i], p
+        open_gain = unrealised(p, price, cfg)
+        a = forced(p, tick, gate[i], open_gain, cfg)
+        if a is None or says:
+            if p.side is None:
+                if i >= flat[1]:
+                    flat = looks(i, min(i + FLAT, stop), start, p)
+                ahead = flat
+            else:
+                if i >= held[1]:
+                    held = looks(i, min(i + WINDOW, stop), start, p)
+                ahead = held
+            at = i - ahead[0]
+            if says:
+                for to, x in zip(seen, ahead[2]):
+                    to[i] = x[at]
+        if a is None:
+            a, shares[i] = ahead[3][at], ahead[4][at]
+        else:
+            shares[i, a] = 1.0
+        p, pnl[i] = carried(p, tick, price, a, cfg)
+        if p is not before:
+            held = (0, 0, None, None, None)  # another entry
+        action[i], side[i], gain[i], own[i] = a, p.side, open_gain, (entered.get(before.side, 0.0), open_gain)
+        if p.side is not None:
+            entry[i], entry_tick[i] = p.entry, p.entry_tick
+    make = {
+        "tick": lambda: ticks, "price": lambda: prices, "action": lambda: action, "pnl": lambda: pnl, "side": lambda: side, "entry": lambda: entry, "entry_tick": lambda: entry_tick, "unrealised": lambda: gain,
+        "shares": lambda: shares.tolist(), "vote": lambda: seen[0].tolist(), "margin": lambda: seen[1], "ret_mean": lambda: seen[2], "ret_std": lambda: seen[3],
+        "state": lambda: list(np.concatenate([market[:, :-2], own], axis=1).astype(np.float32)), "reward": lambda: [shaped(x, s, cfg) for x, s in zip(pnl.tolist(), side)],
+    }
+    return {c: make[c]() for c in wanted if c in make}
+
+
+def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: EngineConfig = DEFAULT, epsilon: float = 0.0, seed: int = 0, number: str | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Trace of each episode: ``episode, tick, price, action, pnl, side, entry, ...`` from rows with tick, Close, ATR_Scaled and state.
 
     A policy over a bank (``memory_policy``) also gives what the bank says of every state: votes, margin, returns of the neighbours. Rows
     with a null state or price are skipped. A position open at the end stays open and is never settled. epsilon: chance of a
     random action, drawn from seed and episode, whatever the partitioning. number: a column with the bank's number of the episode, for its
-    temporal exclusion. Reward is that of the tick's own action.
+    temporal exclusion. Reward is that of the tick's own action. keep: of the columns after the episode, those wanted, in their order.
     """
     seen = isinstance(policy, Memory)
-    names = [episode, *[c.split()[0] for c in (_OUT + (_SEEN if seen else "")).split(", ")]]
+    kinds = [c for c in (_OUT + (_SEEN if seen else "")).split(", ") if keep is None or c.split()[0] in keep]
+    names = [episode, *[c.split()[0] for c in kinds]]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["tick", "Close", "state"]).sort_values("tick")
@@ -287,6 +393,8 @@ def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: Engine
             at["look"] = at["look"] or look(state)
             return bank.choose(at["look"], mask)
 
+        if quick and epsilon == 0:
+            return pd.DataFrame({episode: [name] * len(pdf), **traced(bank, market, pdf["tick"].to_numpy(), price_at, pdf["ATR_Scaled"].to_numpy(dtype=float), names, cfg)})[names]
         act = explore(vote if seen else policy, epsilon, rng)
         size = TICKS if quick else bank.chunk if seen and len(bank.states) else len(pdf)
         for i, (tick, price, atr) in enumerate(zip(pdf["tick"].tolist(), pdf["Close"].tolist(), pdf["ATR_Scaled"].tolist())):
@@ -303,13 +411,13 @@ def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: Engine
                 says = at["look"] or look(state)
                 row |= {"vote": says.vote.tolist(), "margin": says.margin, "ret_mean": says.ret_mean, "ret_std": says.ret_std, "state": state, "reward": shaped(row["pnl"], p.side, cfg)}
             out.append(row)
-        return pd.DataFrame(out, columns=names).astype({"entry": float})
+        return pd.DataFrame(out, columns=names).astype({"entry": float} if "entry" in names else {})
 
     kind = dict(states.dtypes)[episode]
     rows = states.select(episode, "tick", F.col("Close").cast("double"), F.col("ATR_Scaled").cast("double"), "state", *([number] if number else []))
     if seen:  # their work counts, not their bytes, by which partitions would be joined
         rows = rows.repartition(8 * int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), episode)
-    return rows.groupBy(episode).applyInPandas(run, f"{episode} {kind}, {_OUT}" + (_SEEN if seen else ""))
+    return rows.groupBy(episode).applyInPandas(run, ", ".join([f"{episode} {kind}", *kinds]))
 
 
 def trades_of(trace: DataFrame, episode: str) -> DataFrame:
