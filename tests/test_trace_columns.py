@@ -63,3 +63,21 @@ def test_kept_columns_are_those_of_the_whole_trace(spark):
     assert list(few) == ["series", "tick", "action", "pnl", "vote"]
     for c in few:
         assert list(map(repr, few[c])) == list(map(repr, whole[c]))
+
+
+def test_states_in_memory_are_those_of_the_tables(spark):
+    from tidemark.config import DEFAULT, FEATURES
+    from tidemark.operators import features as W
+
+    rng = np.random.default_rng(6)
+    sizes = {"none": 100, "one": 130, "some": 400}
+    values = {s: np.round(rng.normal(size=(n, 6)), 3) for s, n in sizes.items()}
+    values["some"][200:300, 2] = 0.5  # no spread
+    rows = [(s, t, *map(float, v)) for s, x in values.items() for t, v in enumerate(x)]
+    got = W.open_loop_state(spark.createDataFrame(rows, "series string, tick bigint, " + ", ".join(f"{c} double" for c in FEATURES))).toPandas()
+    for s, x in values.items():
+        want = got[got["series"] == s].sort_values("tick")
+        mine = W.states_of(x)
+        assert mine.dtype == np.float32 and len(mine) == len(want) == max(0, len(x) - DEFAULT.warmup - 1)
+        if len(want):
+            assert np.array_equal(mine, np.stack(want["state"].to_numpy()).astype(np.float32))

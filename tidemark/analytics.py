@@ -703,8 +703,7 @@ def momentum(state, mask):
 
 def _trace(spark, d, *keep: str) -> DataFrame:
     """The trace of all series, with the columns named (all if none)."""
-    f = materialize(_features(spark, d), "features")  # read by every pace
-    return Z.fold(W.open_loop_state(f).join(f.select("series", "tick", "Close", "ATR_Scaled"), ["series", "tick"]), "series", Z.memory_policy(table(spark, d, "memory_bank")), keep=keep or None)
+    return Z.fold(_features(spark, d), "series", Z.memory_policy(table(spark, d, "memory_bank")), keep=keep or None, features=FEATURES)
 
 
 @query()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +112,26 @@ def open_loop_state(features: DataFrame, source: str = "series", tick: str = "ti
     return out.select(source, tick, F.concat(*[F.coalesce(f"_p{p}", zeros) for p in cfg.paces], F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>")).alias("state"))
 
 
+def states_of(values: np.ndarray, cfg: EngineConfig = DEFAULT) -> np.ndarray:
+    """``open_loop_state`` of one series in memory: the float32 states of its ticks after warm-up, from its features at ticks 0, 1, ...
+
+    Sums run in the order of those of ``pace_samples``, so both give the same digits.
+    """
+    h, off, out = cfg.history, np.arange(1, max(1, len(values) - cfg.warmup)), []
+    for p in cfg.paces:
+        before = [cfg.warmup - j * p for j in range(h, 0, -1) if 0 <= cfg.warmup - j * p < len(values)]
+        sampled = values[[*before, *range(cfg.warmup + p, len(values), p)]].astype(np.float64)
+        padded = np.concatenate([np.zeros((h - 1, values.shape[1])), sampled])
+        lags = [padded[h - 1 - j : len(padded) - j] for j in range(h)]
+        with np.errstate(all="ignore"):
+            mean = reduce(add, lags) / float(h)
+            slope = (sampled - mean) / (np.sqrt(reduce(add, [(x - mean) * (x - mean) for x in lags]) / float(h)) + cfg.slope_eps)
+            both = np.concatenate([sampled, slope], axis=1).astype(np.float32)
+        at = len(before) - 1 + off // p
+        out.append(np.where((at >= 0)[:, None], both[at], np.float32(0)) if len(both) else np.zeros((len(off), 2 * values.shape[1]), dtype=np.float32))
+    return np.concatenate([*out, np.zeros((len(off), 2), dtype=np.float32)], axis=1)
+
+
 def resample_ohlc(df: DataFrame, at: str, width: str, source: str = "series", key: str = "row_id", empty: bool = False) -> DataFrame:
     """Bars of a fixed width: first open, highest, lowest, last close, rows. Unsound prices are left out.
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import CLOSE, DEFAULT, HOLD, LONG, SHORT, EngineConfig
 from tidemark.operators.candidates import TICKS, Candidates
+from tidemark.operators.features import states_of
 
 WINDOW = 8  # ticks looked at ahead, as if the position stayed
 FLAT = 64  # ticks looked at ahead without a position
@@ -350,26 +351,33 @@ def traced(bank: BankPolicy, market: np.ndarray, ticks: np.ndarray, prices: np.n
     return {c: make[c]() for c in wanted if c in make}
 
 
-def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: EngineConfig = DEFAULT, epsilon: float = 0.0, seed: int = 0, number: str | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
+def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: EngineConfig = DEFAULT, epsilon: float = 0.0, seed: int = 0, number: str | None = None, keep: tuple[str, ...] | None = None, features: tuple[str, ...] | None = None) -> DataFrame:
     """Trace of each episode: ``episode, tick, price, action, pnl, side, entry, ...`` from rows with tick, Close, ATR_Scaled and state.
 
     A policy over a bank (``memory_policy``) also gives what the bank says of every state: votes, margin, returns of the neighbours. Rows
     with a null state or price are skipped. A position open at the end stays open and is never settled. epsilon: chance of a
     random action, drawn from seed and episode, whatever the partitioning. number: a column with the bank's number of the episode, for its
-    temporal exclusion. Reward is that of the tick's own action. keep: of the columns after the episode, those wanted, in their order.
+    temporal exclusion. Reward is that of the tick's own action. keep: of the columns after the episode, those wanted, in their order. features: instead of state,
+    rows have these columns and all ticks of the episode from 0; the task that folds it builds its states, and ticks after the warm-up are traced.
     """
     seen = isinstance(policy, Memory)
     kinds = [c for c in (_OUT + (_SEEN if seen else "")).split(", ") if keep is None or c.split()[0] in keep]
     names = [episode, *[c.split()[0] for c in kinds]]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["tick", "Close", "state"]).sort_values("tick")
+        pdf = pdf.dropna(subset=["tick", "Close", *([] if features else ["state"])]).sort_values("tick")
+        if features:
+            if not np.array_equal(pdf["tick"].to_numpy(), np.arange(len(pdf))):
+                raise ValueError(f"{episode} {pdf[episode].iloc[0]}: ticks must run from 0 without gaps")
+            market = states_of(pdf[list(features)].to_numpy(dtype=float), cfg).astype(np.float64)
+            pdf = pdf.iloc[len(pdf) - len(market) :]
         if not len(pdf):
             return pd.DataFrame({c: [] for c in names}, dtype=object)
         name, p, out = pdf[episode].iloc[0], Position(), []
         bank = policy.policy() if seen else None
         rng = np.random.default_rng([seed, *str(name).encode()])
-        market = np.stack(pdf["state"].to_numpy()).astype(np.float64)
+        if not features:
+            market = np.stack(pdf["state"].to_numpy()).astype(np.float64)
         at: dict = {}
         mine = float(pdf[number].iloc[0]) if number else None
         price_at = pdf["Close"].to_numpy(dtype=float)
@@ -414,7 +422,8 @@ def fold(states: DataFrame, episode: str, policy: Policy | Callable, cfg: Engine
         return pd.DataFrame(out, columns=names).astype({"entry": float} if "entry" in names else {})
 
     kind = dict(states.dtypes)[episode]
-    rows = states.select(episode, "tick", F.col("Close").cast("double"), F.col("ATR_Scaled").cast("double"), "state", *([number] if number else []))
+    own = ["state"] if not features else [c for c in features if c != "ATR_Scaled"]
+    rows = states.select(episode, "tick", F.col("Close").cast("double"), F.col("ATR_Scaled").cast("double"), *own, *([number] if number else []))
     if seen:  # their work counts, not their bytes, by which partitions would be joined
         rows = rows.repartition(8 * int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), episode)
     return rows.groupBy(episode).applyInPandas(run, ", ".join([f"{episode} {kind}", *kinds]))
