@@ -22,6 +22,19 @@ def asked(monkeypatch, name):
         return e.args[0]
 
 
+def test_confusion_asks_for_two_columns(monkeypatch):
+    assert asked(monkeypatch, "policy_confusion") == ("action", "vote")
+
+
+def test_confusion_runs_the_trace_once(spark, monkeypatch):
+    rows = [("a", i % 4, [0.0, 1.0, 0.5, 0.2]) for i in range(40)]
+    trace = spark.createDataFrame(rows, "series string, action int, vote array<double>").groupBy("series").applyInPandas(lambda x: x, "series string, action int, vote array<double>")
+    monkeypatch.setattr(A, "_trace", lambda spark, d, *keep: trace)
+    q = A.QUERIES["policy_confusion"](spark, "")
+    assert q._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") < 2
+    assert {(r["action"], r["best_vote"], r["n"], r["match_rate"]) for r in q.collect()} == {(a, 1, 10, 0.25) for a in range(4)}
+
+
 def test_metrics_ask_for_two_columns(monkeypatch):
     assert asked(monkeypatch, "trace_metrics") == ("action", "pnl")
 

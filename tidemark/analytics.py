@@ -743,7 +743,7 @@ def regime_decisions(spark, d):
 @query()
 def policy_confusion(spark, d):
     """A12, ST14: action of the trace against the best vote without a mask, and the share of ticks where they agree."""
-    c = D.confusion(_trace(spark, d).withColumn("best_vote", S.argmax_first(F.col("vote"))), "action", "best_vote")
+    c = materialize(D.confusion(_trace(spark, d, "action", "vote").withColumn("best_vote", S.argmax_first(F.col("vote"))), "action", "best_vote"), "confusion")  # read twice
     return c.crossJoin(c.agg((F.sum(F.when(F.col("action") == F.col("best_vote"), F.col("n")).otherwise(0)) / F.sum("n")).alias("match_rate")))  # one row
 
 
