@@ -11,13 +11,13 @@ class Asked(Exception):
     pass
 
 
-def asked(monkeypatch, name):
+def asked(monkeypatch, name, spark=None):
     def trace(spark, d, *keep):
         raise Asked(keep)
 
     monkeypatch.setattr(A, "_trace", trace)
     try:
-        A.QUERIES[name](None, "")
+        A.QUERIES[name](spark, "")
     except Asked as e:
         return e.args[0]
 
@@ -35,6 +35,12 @@ def test_confusion_runs_the_trace_once(spark, monkeypatch):
     assert {(r["action"], r["best_vote"], r["n"], r["match_rate"]) for r in q.collect()} == {(a, 1, 10, 0.25) for a in range(4)}
 
 
+def test_regime_decisions_ask_for_three_columns(spark, monkeypatch):
+    monkeypatch.setattr(A, "_features", lambda spark, d: spark.range(0).selectExpr("'a' as series", "id as tick"))
+    monkeypatch.setattr(A.D, "with_regimes", lambda f: f.selectExpr("*", "0 as regime"))
+    assert asked(monkeypatch, "regime_decisions", spark) == ("tick", "action", "shares")
+
+
 def test_metrics_ask_for_two_columns(monkeypatch):
     assert asked(monkeypatch, "trace_metrics") == ("action", "pnl")
 

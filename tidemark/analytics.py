@@ -732,7 +732,7 @@ def conviction_by_action(spark, d):
 def regime_decisions(spark, d):
     """Per regime the share of each action (10 ticks at least), and the spread of conviction and entropy (more than 10), over the trace."""
     r = D.with_regimes(_features(spark, d)).select("series", "tick", "regime")
-    x = materialize(_conviction(_trace(spark, d)).join(r, ["series", "tick"]).select("regime", "action", "conviction", "entropy"), "decisions")
+    x = materialize(_conviction(_trace(spark, d, "tick", "action", "shares")).join(r, ["series", "tick"]).select("regime", "action", "conviction", "entropy"), "decisions")
     mix = x.groupBy("regime").agg(F.count("*").alias("n"), *[F.avg((F.col("action") == a).cast("double")).alias(f"share_{a}") for a in range(4)])
     for c in ("conviction", "entropy"):
         s = D.describe(x, c, ["regime"])
