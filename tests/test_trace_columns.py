@@ -41,6 +41,10 @@ def test_regime_decisions_ask_for_three_columns(spark, monkeypatch):
     assert asked(monkeypatch, "regime_decisions", spark) == ("tick", "action", "shares")
 
 
+def test_trades_ask_for_the_columns_of_a_trade(monkeypatch):
+    assert asked(monkeypatch, "trace_trades") == ("tick", "price", "action", "pnl", "side", "entry", "entry_tick")
+
+
 def test_metrics_ask_for_two_columns(monkeypatch):
     assert asked(monkeypatch, "trace_metrics") == ("action", "pnl")
 

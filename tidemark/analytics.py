@@ -715,7 +715,7 @@ def position_trace(spark, d):
 @query()
 def trace_trades(spark, d):
     """Closed trades of the trace."""
-    return Z.trades_of(_trace(spark, d), "series")
+    return Z.trades_of(_trace(spark, d, "tick", "price", "action", "pnl", "side", "entry", "entry_tick"), "series")
 
 
 def _conviction(trace: DataFrame) -> DataFrame:
